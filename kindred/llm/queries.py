@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, warc
+from . import bpe, html_text, warc
 from .common import new_folder, table, written
 from .near_dedup import NearDedup
 from .packing import Packer
+from .pivot_search import PivotSearch
 from .quality_gam import QualityClassifier
 from .quality_rules import QualityRules
 from .toxicity import Toxicity
@@ -46,6 +48,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PivotSearch().search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(tokenizer_path("word_bpe_49k.json")).packed(table(spark, sf_dir, "documents"))
 
@@ -56,7 +66,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op9_packing, op10_quality_classifier)
+    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op9_packing, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +80,15 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM r""",
+    "op6_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
