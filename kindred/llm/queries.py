@@ -11,6 +11,7 @@ from . import bpe, html_text, warc
 from .common import new_folder, table, written
 from .near_dedup import NearDedup
 from .packing import Packer
+from .pii import PersonalData
 from .pivot_search import PivotSearch
 from .quality_gam import QualityClassifier
 from .quality_rules import QualityRules
@@ -56,6 +57,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PersonalData().find(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Packer(tokenizer_path("word_bpe_49k.json")).packed(table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op9_packing, op10_quality_classifier)
+    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op8_pii, op9_packing, op10_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
