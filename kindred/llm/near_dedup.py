@@ -11,10 +11,11 @@ Steps, each a Spark job over written tables:
 3. each table key held by two classes or more has a leader, its smallest id; (member, leader) are
    candidates. First each class is tested with its smallest leader only, then components are formed,
    and the other candidates are tested where they would still join two components;
-4. a key some of whose members differ from its leader is settled on its own: in rounds, ``BATCH`` more
-   of its members at a time are tested with all members in other components, until none is left. So
-   every pair that shares a key is either tested or in one component already, and no round makes more
-   than BATCH rows for a member.
+4. the members of a key some of which differ from its leader are dealt into cells by set size, by whether
+   they are in the leader's component, and by a hash, of about ``ROOM`` shingles each. Cells whose sizes allow a
+   link meet two at a time; a task counts the common shingles of all their pairs at once and returns a
+   forest of links. So every pair that shares a key is tested or in one component already, a task holds
+   two cells, and there is no row for a pair.
 """
 
 from __future__ import annotations
@@ -23,14 +24,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .common import written
 from .components import merged
 
-BATCH = 16
+ROOM = 150_000
+
+
+def links(left: list[np.ndarray], right: list[np.ndarray], apart: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets (left x right, where ``apart``) are alike enough, by products of incidence matrices."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    values, place = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    place = place.ravel()
+    cut = int(sizes[0].sum())
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    both = np.flatnonzero(np.bincount(place[:cut], minlength=len(values)).astype(bool) & np.bincount(place[cut:], minlength=len(values)).astype(bool))
+    column = np.full(len(values), -1)
+    column[both] = np.arange(len(both))
+    common = np.zeros((len(left), len(right)), np.float32)
+    at = [column[place[:cut]], column[place[cut:]]]
+    for lo in range(0, len(both), 2048):
+        part = []
+        for side in range(2):
+            own = (at[side] >= lo) & (at[side] < lo + 2048)
+            m = np.zeros((len(sizes[side]), min(2048, len(both) - lo)), np.float32)
+            m[rows[side][own], at[side][own] - lo] = 1
+            part.append(m)
+        common += part[0] @ part[1].T
+    return apart & (100 * common >= percent * (sizes[0][:, None] + sizes[1][None] - common)) & (common > 0)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the edges, those that join two trees."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if top(x) != top(y):
+            up[top(x)] = top(y)
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
 
 
 class NearDedup:
@@ -79,10 +121,10 @@ class NearDedup:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, s0 long, s1 long, a array<long>, b array<long>")
 
-    def _keys(self, sketches: DataFrame) -> DataFrame:
-        """(id, key) for each of the tables."""
+    def _keys(self, sketches: DataFrame, *more: str) -> DataFrame:
+        """(id, key) for each of the tables, and more columns."""
         each: list[Column] = [F.xxhash64(F.lit(i * self.bands + j), F.col("a")[i], F.col("b")[j]) for i in range(self.bands) for j in range(self.bands)]
-        return sketches.select("id", F.explode(F.array(*each)).alias("key"))
+        return sketches.select("id", *more, F.explode(F.array(*each)).alias("key"))
 
     def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
         """The pairs (a, b) of doc_ids whose full sets are alike enough."""
@@ -115,27 +157,64 @@ class NearDedup:
         joined = pairs.join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
         return joined.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select(*pairs.columns)
 
+    def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
+        """id, shingles of the documents with these ids."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = ta.flat(batch.column(1))
+                for lo, hi in ta.slices(offsets):
+                    sets, first = ta.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["id", "shingles"])
+
+        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("_id is not null and text is not null")
+        return ids.join(texts, ids["id"] == texts["_id"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
     def _settled(self, roots: DataFrame, classes: DataFrame, open_pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """Step 4: the keys of ``open_pairs`` (a, b, key), tested until each pair in a key is settled."""
-        keys = open_pairs.select("key").distinct()
-        everyone = written(self._keys(classes).join(keys, "key", "left_semi"), "open-members")
-        lead = F.row_number().over(Window.partitionBy("key").orderBy("a"))
-        # those that differ from their leader's component: each pair in two components has one of them
-        others = written(open_pairs.select("key", "a").distinct().withColumn("turn", F.floor((lead - 1) / BATCH)), "open-turns")
-        last = others.agg(F.max("turn")).first()[0]
-        for turn in range(int(last) + 1 if last is not None else 0):
-            now = others.where(F.col("turn") == turn).select("key", "a")
-            pairs = everyone.withColumnRenamed("id", "b").join(now, "key").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            pairs = written(self._crossing(pairs, roots), "open-pairs")
-            if not pairs.isEmpty():
-                roots = merged(roots, written(self.verified(pairs, docs), "open-links"))
-        return roots
+        """Step 4: each pair of members of the keys of ``open_pairs`` (a, b: the leader, key) is tested or in one component."""
+        percent = self.percent
+        leaders = open_pairs.groupBy("key").agg(F.min("b").alias("leader"))
+        to = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
+        leaders = leaders.join(to, F.col("leader") == F.col("_id"), "left").select("key", F.coalesce("_root", "leader").alias("chief"))
+        band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
+        members = self._keys(classes, "n").join(leaders, "key").join(to, F.col("id") == F.col("_id"), "left")
+        root = F.coalesce("_root", "id")
+        members = written(members.select("id", "n", "key", root.alias("root"), (2 * band + (root == F.col("chief")).cast("int")).cast("long").alias("sort")), "open-members")
+        # the number of cells of each sort (set size and side), a few dozen for a key at most
+        cells = members.groupBy("key", "sort").agg(F.ceil(F.sum("n") / ROOM).alias("cells")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sort", "cells"))).alias("plan"))
+        own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("plan")[F.col("sort")]) + F.col("sort") * (1 << 32)
+        met = []
+        for near in (-1, 0, 1):
+            for side in (0, 1):
+                other = (F.floor(F.col("sort") / 2) + near) * 2 + side
+                count = F.when((F.lit(side) == 0) | (F.col("sort") % 2 == 0), F.coalesce(F.col("plan")[other], F.lit(0))).otherwise(0)
+                met.append(F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda j, other=other: j + other * (1 << 32))).otherwise(F.array().cast("array<bigint>")))
+        dealt = members.join(cells, "key").select("key", "id", "root", own.alias("cell"), F.explode(F.flatten(F.array(*met))).alias("other"))
+        dealt = dealt.select("key", "id", "root", "cell", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"))
+        sets = written(self._sets(members.select("id").distinct(), docs).withColumnRenamed("id", "_id"), "open-sets")
+
+        def judge(key: tuple, rows: pa.Table) -> pa.Table:
+            cell, ids, root = (np.asarray(rows[c]) for c in ("cell", "id", "root"))
+            values = rows["shingles"].combine_chunks()
+            values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+            flat_, ends = np.asarray(values.flatten()), np.concatenate([[0], np.cumsum(np.diff(np.asarray(values.offsets)))])
+            sides = [np.flatnonzero(cell == key[i].as_py()) for i in (1, 2)]
+            left, right = ([flat_[ends[i] : ends[i + 1]] for i in side] for side in sides)
+            if not left or not right:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            x, y = np.nonzero(links(left, right, root[sides[0]][:, None] != root[sides[1]][None], percent))
+            a, b = forest(ids[sides[0]][x], ids[sides[1]][y])
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        found = dealt.join(sets, F.col("id") == F.col("_id")).select("key", "lo", "hi", "id", "root", "cell", "shingles")
+        return merged(roots, written(found.groupBy("key", "lo", "hi").applyInArrow(judge, "a long, b long"), "open-links"))
 
     def components(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: a row per document."""
         sketches = written(self.sketches(docs), "sketches")
         linked = sketches.where("n_shingles > 0 and doc_id is not null")
-        classes = written(linked.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+        classes = written(linked.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("n_shingles").alias("n")), "classes")
         keys = self._keys(classes)
         leaders = written(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader != _last").select("key", "leader"), "leaders")
         pairs = written(keys.join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "key"), "candidates")
