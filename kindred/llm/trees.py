@@ -8,7 +8,9 @@ import numpy as np
 
 
 def edges_of(x: np.ndarray, bins: int) -> list[np.ndarray]:
-    """Inner bin edges of each column: distinct quantiles."""
+    """Inner bin edges of each column: distinct quantiles; none without rows."""
+    if not len(x):
+        return [np.zeros(0) for _ in range(x.shape[1])]
     return [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
 
 
