@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.functions import names, signal
-from kindred.operators import clustering, ranking, reasons, rollups, similarity
-from kindred.sources import tables
+from kindred.functions import audio, names, signal
+from kindred.operators import clustering, folders, looks, ranking, readings, reasons, rollups, similarity, timelines
+from kindred.sources import probe, tables
 from kindred.sources.tables import table
 from kindred.streaming import listing
 
@@ -355,3 +355,123 @@ def set_operations(spark, sf):
     rows = table(spark, sf, "lineitem")
     of = lambda f: rows.where(F.col("l_returnflag") == f).select(F.col("l_orderkey").alias("o_orderkey"))
     return of("A").distinct().subtract(of("R").intersect(table(spark, sf, "orders").select("o_orderkey")))
+
+
+# ---- closer looks, timelines, readings, probes, folders -----------------------------------------------------------------
+
+_SOFT = "list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 9), lambda k: d[greatest(0, least(7, i // 8 + k // 3 - 1)) * 8 + greatest(0, least(7, i % 8 + k % 3 - 1)) + 1])))"
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_FRAME} AS f FROM embeddings),
+d AS (SELECT vec_id, f, list_transform(range(0, 64), lambda i: f[i + 1] - f[(i // 8) * 8 + (7 - i % 8) + 1]) AS d FROM f), s AS (SELECT vec_id, f, {_SOFT} AS s FROM d)
+SELECT vec_id, round(list_max(list_transform(range(0, 16), lambda b: list_sum(list_transform(range(0, 4), lambda k: abs(s[((b // 4) * 2 + k // 2) * 8 + (b % 4) * 2 + k % 2 + 1]))))) / 36.0, 6) AS difference,
+round(list_sum(list_transform(range(0, 49), lambda i: abs(f[(i // 7) * 8 + i % 7 + 2] - f[(i // 7) * 8 + i % 7 + 1]) + abs(f[(i // 7) * 8 + i % 7 + 9] - f[(i // 7) * 8 + i % 7 + 1]))) / 49.0, 6) AS detail FROM s""")
+def block_looks(spark, sf):
+    rows = _frames(spark, sf).withColumn("other", signal.flipped(F.col("frame"), 8))
+    return rows.select("vec_id", F.round(looks.block_difference(F.col("frame"), F.col("other"), 8, 4), 6).alias("difference"), F.round(looks.detail(F.col("frame"), 8), 6).alias("detail"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_FRAME} AS f FROM embeddings),
+d AS (SELECT vec_id, list_transform(range(0, 48), lambda i: f[i + 1] - f[i + 17]) AS d FROM f),
+c AS (SELECT vec_id, list_transform(range(0, 12), lambda c: list_sum(list_transform(range(0, 4), lambda k: d[3 * (((c // 3 // 2) * 2 + k // 2) * 4 + (c // 3 % 2) * 2 + k % 2) + c % 3 + 1])) / 4.0) AS c FROM d)
+SELECT vec_id, round(list_max(list_transform(range(0, 8), lambda i: abs(c[3 * (i // 2) + 2 * (i % 2) + 1] - 0.114 * c[3 * (i // 2) + 1] - 0.587 * c[3 * (i // 2) + 2] - 0.299 * c[3 * (i // 2) + 3]))), 6) AS difference FROM c""")
+def color_looks(spark, sf):
+    rows = _frames(spark, sf).select("vec_id", F.slice("frame", 1, 48).alias("a"), F.slice("frame", 17, 48).alias("b"))
+    return rows.select("vec_id", F.round(looks.color_difference(F.col("a"), F.col("b"), 4, 2), 6).alias("difference"))
+
+
+@query("""SELECT p_partkey, CASE WHEN least(p_size * 20, p_size * 15) >= 512 THEN 512 WHEN p_size * 15 >= 256 THEN 256 WHEN p_size * 15 >= 128 THEN 128 WHEN p_size * 15 >= 64 THEN 64 ELSE 0 END AS side FROM part""")
+def look_sides(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", looks.look_side(F.col("p_size") * 20, F.col("p_size") * 15).alias("side"))
+
+
+@query(f"""WITH v AS (SELECT label, {_Q8} AS v, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 0.5 AS at, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT a.label AS source, b.label AS clip, a.at - b.at AS gap, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / 16129.0 AS cosine FROM v a JOIN v b ON a.n > b.n OR (a.n = b.n AND a.label < b.label)),
+h AS (SELECT * FROM p WHERE cosine >= 0.3), r AS (SELECT *, row_number() OVER (PARTITION BY source, clip ORDER BY gap) AS place, count(*) OVER (PARTITION BY source, clip) AS n FROM h),
+m AS (SELECT source, clip, gap AS middle FROM r WHERE place = n // 2 + 1)
+SELECT source, clip, round(avg(cosine), 6) AS similarity, CAST(greatest(0, round_even(any_value(middle), 0)) AS BIGINT) AS "offset", count(*) AS n FROM h JOIN m USING (source, clip) WHERE abs(gap - middle) <= 30 GROUP BY ALL HAVING count(*) >= 4""")
+def dense_clips(spark, sf):
+    slot = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    frames = table(spark, sf, "embeddings").where("label is not null").select("label", (slot * 0.5).alias("at"), "embedding")
+    return timelines.dense_matches(frames, "label", "at", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH s AS (SELECT user_id, list(hash_ ORDER BY event_id) AS f FROM (SELECT user_id, event_id, (event_id * 2654435761) % 4294967296 AS hash_ FROM events) GROUP BY user_id),
+c AS (SELECT -user_id - 1 AS clip, list_transform(f[11:25], lambda x: xor(x, 5)) AS f FROM s WHERE len(f) >= 25),
+o AS (SELECT s.user_id AS source, c.clip, unnest(range(0, len(s.f) - len(c.f) + 1)) AS o, s.f AS sf, c.f AS cf FROM s JOIN c ON len(s.f) >= len(c.f)),
+b AS (SELECT source, clip, o, list_sum(list_transform(range(1, len(cf) + 1), lambda i: bit_count(xor(cf[i], sf[o + i])))) AS bits, len(cf) AS n FROM o)
+SELECT source, clip, round(1 - min(bits) / (any_value(n) * 32), 6) AS similarity, CAST(arg_min(o, bits * 100000 + o) AS INTEGER) AS "offset" FROM b WHERE 1 - bits / (n * 32) >= 0.9 GROUP BY ALL""")
+def clips_within(spark, sf):
+    codes = table(spark, sf, "events").select("user_id", F.struct("event_id", F.pmod(F.col("event_id") * 2654435761, F.lit(4294967296)).alias("code")).alias("e"))
+    series = codes.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("e")).select(F.col("user_id").alias("id"), F.transform("e", lambda x: x["code"]).alias("codes"))
+    clips = series.where(F.size("codes") >= 25).select((-F.col("id") - 1).alias("id"), F.transform(F.slice("codes", 11, 15), lambda x: x.bitwiseXOR(F.lit(5).cast("long"))).alias("codes"))
+    return timelines.clips_within(series, clips, "id", "codes", 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def readings_compared(spark, sf):
+    rows = table(spark, sf, "benchmark").select("item_id", "text")
+    near = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    both = rows.join(near, "item_id").select("item_id", F.explode(F.array("next", F.regexp_replace("text", "[aeiou](?=[a-z] )", "o"))).alias("other"), "text")
+    return both.select("item_id", readings.compared(F.col("text"), F.col("other")).alias("r")).select("item_id", "r.*")
+
+
+@query()
+def chroma_frames(spark, sf):
+    samples = F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double")), 64))
+    return table(spark, sf, "embeddings").select("vec_id", audio.chroma(samples).alias("chroma"))
+
+
+@query()
+def merged_groups(spark, sf):
+    pairs = clustering.written(_near(spark, sf), "pairs")
+    return clustering.merged_groups(clustering.components(pairs), pairs, pairs)
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size, unnest([0, 1]) AS index, p_retailprice FROM part)
+SELECT p_partkey, index, CASE WHEN index = 0 THEN p_size * 16 ELSE 0 END AS width, CASE WHEN index = 0 THEN round(p_size * 1000 / 1001, 3) ELSE 0 END AS frame_rate, CASE WHEN index = 1 AND p_size % 2 = 0 THEN 96000 WHEN index = 0 AND p_size % 2 = 1 THEN 128000 ELSE 0 END AS bit_rate,
+CASE WHEN index = 1 THEN '' WHEN p_size % 3 = 0 THEN 'HDR10+' WHEN p_size % 3 = 1 THEN 'HLG' ELSE '' END AS hdr_format, CASE WHEN index = 1 AND p_size % 2 = 0 THEN 'deu' ELSE '' END AS language, floor(p_retailprice) AS duration_s FROM s""")
+def probe_info(spark, sf):
+    size, even = F.col("p_size"), F.col("p_size") % 2 == 0
+    side = F.when(size % 3 == 0, F.array(F.struct(F.lit("HDR Dynamic Metadata SMPTE2094-40").alias("side_data_type"))))
+    curve = F.when(size % 3 == 0, "smpte2084").when(size % 3 == 1, "arib-std-b67")
+    video = F.to_json(F.struct(F.lit(0).alias("index"), (size * 16).alias("width"), F.concat((size * 1000).cast("string"), F.lit("/1001")).alias("r_frame_rate"), curve.alias("color_transfer"), side.alias("side_data_list")))
+    sound = F.to_json(F.struct(F.lit(1).alias("index"), F.when(even, "96000").alias("bit_rate"), F.struct(F.when(even, " DEU").otherwise("und").alias("language")).alias("tags")))
+    whole = F.to_json(F.struct(F.col("p_retailprice").cast("string").alias("duration"), F.lit("128000").alias("bit_rate")))
+    text = F.concat(F.lit('{"streams": ['), video, F.lit(","), sound, F.lit('], "format": '), whole, F.lit("}"))
+    rows = table(spark, sf, "part").select("p_partkey", probe.media_info(text).alias("m")).select("p_partkey", "m.duration_s", F.inline("m.streams"))
+    return rows.select("p_partkey", "index", "width", F.round(F.col("frame_rate").cast("double"), 3).alias("frame_rate"), "bit_rate", "hdr_format", "language", "duration_s")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size >= 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+def leftover_folders(spark, sf):
+    claimed = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return folders.leftovers(table(spark, sf, "part"), claimed, "p_partkey", "p_size", 10).select("p_partkey")
+
+
+@query("""SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS name_key, count(DISTINCT lower(p_brand)) AS folders, CAST(sum(p_size) - max(p_size) AS BIGINT) AS reclaim FROM part GROUP BY 1 HAVING count(DISTINCT lower(p_brand)) > 1 AND name_key <> ''""")
+def installed_twice(spark, sf):
+    return folders.installed_twice(table(spark, sf, "part"), "p_name", "p_brand", "p_size")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 50 DAY) < TIMESTAMP '1997-01-01' - INTERVAL 90 DAY""")
+def idle_games(spark, sf):
+    at = F.col("o_orderdate").cast("timestamp")
+    now = F.lit("1997-01-01").cast("timestamp")
+    return folders.idle(table(spark, sf, "orders"), F.when(F.col("o_orderkey") % 3 > 0, at), at - F.make_interval(days=F.lit(50)), now).select("o_orderkey")
+
+
+@query("""WITH d AS (SELECT DISTINCT substr(p_type, 1, 8 + CAST(p_size % 5 AS INTEGER)) AS dump FROM part), p AS (SELECT DISTINCT p_type AS program, p_brand AS game FROM part)
+SELECT dump, min(game) AS game FROM d JOIN p ON lower(dump) = lower(program) OR (length(dump) >= 8 AND starts_with(lower(program), lower(dump))) GROUP BY dump""")
+def dump_owners(spark, sf):
+    rows = table(spark, sf, "part")
+    dumps = rows.select(F.substring("p_type", F.lit(1), 8 + F.col("p_size") % 5).alias("dump")).distinct()
+    return folders.dump_owners(dumps, "dump", rows.select("p_type", "p_brand").distinct(), "p_type", "p_brand")
+
+
+@query("""WITH u AS (SELECT 'drives' AS category, s_name AS name, s_acctbal AS bytes FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'caches', c_name, c_acctbal FROM customer WHERE c_acctbal > 5000)
+SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY bytes DESC, name) AS INTEGER) AS place FROM u""")
+def folder_report(spark, sf):
+    drives = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("bytes"))
+    caches = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("bytes"))
+    return folders.report({"drives": drives, "caches": caches, "none": drives.where("false")}, "name", "bytes")
