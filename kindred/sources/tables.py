@@ -50,9 +50,11 @@ def moved(old: DataFrame, new: DataFrame, key: str, size: str, digest: str) -> D
     """(old, new) of rows that are gone from one side and stand under another key on the other, if the match is unique."""
     gone = old.join(new.select(key), key, "left_anti").select(F.col(key).alias("old"), size, digest)
     come = new.join(old.select(key), key, "left_anti").select(F.col(key).alias("new"), size, digest)
-    met = gone.join(come, [size, digest])
-    once = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
-    return met.withColumns({"_o": once("old"), "_n": once("new")}).where("_o and _n").select("old", "new")
+    # counted on either side first, so that a content with many copies is one row before the join
+    once = lambda rows, c: rows.groupBy(size, digest).agg(F.min(c).alias(c), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    met = once(gone, "old").join(once(come, "new"), [size, digest])
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) == 1
+    return met.withColumns({"_o": alone("old"), "_n": alone("new")}).where("_o and _n").select("old", "new")
 
 
 def stamp(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -50,6 +50,23 @@ def test_moves_must_be_unique(spark):
     assert [tuple(r) for r in tables.moved(old, new, "path", "size", "digest").collect()] == [("a", "p")]
 
 
+def test_moves_count_copies_before_they_join(spark):
+    """300 copies on either side are no 90,000 pairs, and a move to a smaller key is one too."""
+    old = spark.createDataFrame([(2 * i, 1, "hot") for i in range(300)] + [(1000, 2, "x"), (1002, 3, "y")], "id long, size int, digest string")
+    new = spark.createDataFrame([(2 * i + 1, 1, "hot") for i in range(300)] + [(901, 2, "x"), (1003, 3, "y")], "id long, size int, digest string")
+    found = tables.moved(old, new, "id", "size", "digest")
+    assert sorted(tuple(r) for r in found.collect()) == [(1000, 901), (1002, 1003)]
+    todo, joined = [found._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.endswith("JoinExec"):
+            joined.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    assert joined and max(joined) <= 302
+
+
 def test_user_conditions_are_conditions_only(spark):
     assert spark.range(5).where(reasons.user_condition("id > 2")).count() == 2
     for bad in ("id > 1; drop table x", "java_method('a', 'b')", "id in (select 1)"):
