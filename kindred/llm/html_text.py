@@ -2,8 +2,9 @@
 
 A page becomes a flat list of nodes (parents before children) and a list of text blocks. What cannot be
 article text is left out first: scripts, menus, headers, footers, asides, forms, hidden parts, and elements whose
-class, id or role names an advert, a notice, reader comments or the like. Then each block passes points for
-length and commas to its ancestors, less with each level; a node's points are discounted by its share of
+role, or a class or id as a whole, names an advert, a notice, reader comments or the like, unless such a class or id
+holds most of the page's text. Then each block passes points for length and commas to its ancestors, less with each level
+and through elements whose class or id has such a word in it; a node's points are discounted by its share of
 linked text. The best container and those siblings that score well beside it are kept, in page order.
 """
 
@@ -31,44 +32,55 @@ BAD_WORDS = frozenset(
 )
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
 ALWAYS_BAD = frozenset("ad ads advert adverts advertisement comment comments disqus sponsored cookie sidebar footer".split())
+#: Words that leave a bad name what it is: "site-footer", "comments-area".
+PART_WORDS = frozenset("site page area list section box container wrapper wrap block item items inner outer left right top bottom primary secondary col column unit slot bar group row zone".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KEPT_ALWAYS = frozenset("html body main article".split())
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    names, role, hidden = "", "", False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
-            names += " " + value
-        elif name == "role":
-            role = value.lower().strip()
-        elif name == "hidden":
-            hidden = hidden or value.lower() != "until-found"
-        elif name == "aria-hidden":
-            hidden = hidden or value.lower() == "true"
-        else:
-            hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    if hidden or role in BAD_ROLES:
-        return True
-    if not names:
+#: What attributes say of an element, and the share of a block's points that goes through it.
+GONE, NAMED, HINTED, PLAIN = 3, 2, 1, 0
+SHARE = {GONE: 0.0, NAMED: 0.25, HINTED: 0.5, PLAIN: 1.0}
+
+
+def _named(token: str, good: bool) -> bool:
+    """Is the class or id as a whole the name of a part that is no article text."""
+    words = [w.lower() for w in _WORD.findall(token) if len(w) > 1]
+    if not any(w in BAD_WORDS for w in words):
         return False
+    if all(w in BAD_WORDS or w in PART_WORDS for w in words):
+        return not good or any(w in ALWAYS_BAD for w in words)
+    return words[-1] in ALWAYS_BAD and all(w in BAD_WORDS or w in PART_WORDS or w in GOOD_WORDS for w in words)
+
+
+def _unwanted(tag: str, attributes: str) -> int:
+    """GONE: hidden, or by its role; NAMED: a class or id is a bad name; HINTED: a bad word is in one; PLAIN."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if not found:
+        return PLAIN
+    if "hidden" in found and found["hidden"].lower() != "until-found" or found.get("aria-hidden", "").lower() == "true":
+        return GONE
+    if found.get("role", "").lower().strip() in BAD_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return GONE
+    names = f"{found.get('class', '')} {found.get('id', '')}"
     words = {w.lower() for w in _WORD.findall(names)}
-    if tag in ("html", "body", "main"):
-        return False
-    if tag == "article":
-        return bool(words & {"comment", "comments", "ad", "ads", "advert", "sponsored"})
-    return bool(words & ALWAYS_BAD) and not words & {"no", "without"} or bool(words & BAD_WORDS) and not words & GOOD_WORDS
+    if tag in ("html", "body", "main") or not words & BAD_WORDS:
+        return PLAIN
+    if tag == "article" and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored"}:
+        return PLAIN
+    return NAMED if any(_named(t, bool(words & GOOD_WORDS)) for t in names.split()) else HINTED
 
 
 class Page:
     """Nodes and text blocks of one page."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.drop = ["#"], [0], [False]
+        self.tag, self.parent, self.drop, self.said = ["#"], [0], [False], [PLAIN]
         self.blocks: list[tuple[int, str]] = []
         self.linked: list[int] = []
         self._stack, self._open, self._run, self._links = [0], Counter(), [], 0
@@ -155,7 +167,8 @@ class Page:
                 continue
             self.tag.append(tag)
             self.parent.append(self._stack[-1])
-            self.drop.append(tag in DROPPED or tag == "header" and not (self._open["article"] or self._open["main"]) or _unwanted(tag, m[3]))
+            self.said.append(_unwanted(tag, m[3]))
+            self.drop.append(tag in DROPPED or tag == "header" and not (self._open["article"] or self._open["main"]) or self.said[-1] == GONE)
             if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "path", "use"):
                 continue
             self._stack.append(len(self.tag) - 1)
@@ -175,9 +188,17 @@ def main_text(html: str | None) -> str:
         return ""
     page = Page(html)
     n = len(page.tag)
-    gone = page.drop
+    gone, said = page.drop, page.said
     for i in range(1, n):
         gone[i] = gone[i] or gone[page.parent[i]]
+    if NAMED in said:
+        held = [0] * n
+        for node, text in page.blocks:
+            held[node] += 0 if gone[node] else len(text)
+        for i in range(n - 1, 0, -1):
+            held[page.parent[i]] += held[i]
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[page.parent[i]] or said[i] == NAMED and 2 * held[i] <= held[0]
     blocks = [(node, text, linked) for (node, text), linked in zip(page.blocks, page.linked, strict=True) if not gone[node]]
     # of a header inside the article only the headings are its text
     in_header = [t == "header" for t in page.tag]
@@ -193,7 +214,10 @@ def main_text(html: str | None) -> str:
         many[node] += linked > 0
         own = 1 + min(len(text) / 100, 3) + text.count(",")
         up, share = node if page.tag[node] in ("div", "article", "section", "main", "td", "body") else page.parent[node], 1.0
+        if up != node:
+            own *= SHARE[said[node]]
         for level in range(5):
+            own *= SHARE[said[up]]
             points[up] += own * share
             if not up:
                 break

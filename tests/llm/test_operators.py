@@ -125,6 +125,29 @@ def test_search_is_that_of_all_pairs(spark):
     assert PivotSearch().search(vectors.where("vec_id = 300"), F.lit(True)).collect() == []
 
 
+ARTICLE = "<p>First, a paragraph of the article, which goes on.</p><p>Then, as it must, a second one, with commas.</p>"
+ITS_TEXT = "First, a paragraph of the article, which goes on.\n\nThen, as it must, a second one, with commas."
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ['data-title="The hidden valley"', 'title="hidden gem"', 'data-hidden="false"', "data-role=banner", 'data-id="sidebar"', 'data-style="display: none"', 'class="overflow-hidden"', 'class="layout has-sidebar"', 'class="sidebar"', 'class="no-ads text-register"'],
+)
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_html_attributes_that_do_not_hide_the_article(tag, attributes):
+    assert html_text.main_text(f"<body><{tag} {attributes}>{ARTICLE}</{tag}></body>") == ITS_TEXT
+    assert html_text.main_text(f'<body><div class="ad">Buy now</div><div><{tag} {attributes}>{ARTICLE}</{tag}></div></body>') == ITS_TEXT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", 'class="x" hidden', 'aria-hidden="true"', "style='display:none'", "role=banner", 'class="ad"', 'class="site-footer"', "id=commentsArea", 'class="post-comments"'])
+def test_html_attributes_that_name_what_is_no_article(attributes):
+    assert html_text.main_text(f"<body><div>{ARTICLE}<div {attributes}><p>Buy this, now, here.</p></div></div></body>") == ITS_TEXT
+
+
+def test_html_long_comments_do_not_outdo_the_article():
+    assert html_text.main_text(f'<body><article>{ARTICLE}</article><div id="comments">{"<p>Well, I see, so it goes, they say.</p>" * 6}</div></body>') == ITS_TEXT
+
+
 def test_html_keeps_the_article():
     page = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy now</div>
     <article><h1>Head</h1><p>First &amp; long,  paragraph<br>goes on, here.<p>Second <b>one</b>.</p></article><div id="comments"><p>Nice post, thanks, all of you, really.</p></div><footer>&copy; x</footer></body></html>"""
