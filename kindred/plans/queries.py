@@ -107,12 +107,20 @@ def groups_of_pairs(spark, sf):
     return clustering.components(_near(spark, sf))
 
 
+def _near_once(spark, sf):
+    """Rows of equal code, and the near pairs of the first ones of each code."""
+    codes = table(spark, sf, "embeddings").select("vec_id", signal.sign_code(F.col("embedding")).alias("code"))
+    same = clustering.written(clustering.copies(codes, "vec_id", "code"), "copies")
+    firsts = same.where("id = first").select("id").join(codes.withColumnRenamed("vec_id", "id"), "id")
+    return same, clustering.written(similarity.hamming_pairs(firsts, "id", "code", 16).select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "pairs")
+
+
 @query()
 def pruned_groups(spark, sf):
-    pairs = clustering.written(_near(spark, sf), "pairs")
+    same, pairs = _near_once(spark, sf)
     roots = clustering.components(pairs)
     own = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("pair_root")), "a")
-    return clustering.pruned_groups(roots, own.select(F.col("pair_root").alias("root"), "a", "b"))
+    return clustering.pruned_groups(roots, own.select(F.col("pair_root").alias("root"), "a", "b"), same)
 
 
 @query("""SELECT DISTINCT o.o_custkey AS clip, min(o.o_orderkey) OVER (PARTITION BY o.o_custkey) AS source FROM orders o WHERE o.o_orderpriority = '1-URGENT'""")
@@ -423,8 +431,8 @@ def chroma_frames(spark, sf):
 
 @query()
 def merged_groups(spark, sf):
-    pairs = clustering.written(_near(spark, sf), "pairs")
-    return clustering.merged_groups(clustering.components(pairs), pairs, pairs)
+    same, pairs = _near_once(spark, sf)
+    return clustering.merged_groups(clustering.components(pairs), pairs, pairs, same)
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, unnest([0, 1]) AS index, p_retailprice FROM part)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import names, signal
 from kindred.operators import clustering, ranking, reasons, similarity
+from kindred.plans.queries import QUERIES
 from kindred.sources import tables
 from kindred.streaming import listing
 
@@ -32,6 +33,65 @@ def test_pruned_groups_cut_a_chain(spark):
     assert out[0] == out[1] == out[2] and 3 not in out or out.get(3) != out[0]
 
 
+def test_groups_of_copies_are_those_of_all_their_pairs(spark, tmp_path):
+    """A third of the rows are alike; both queries against the pairs of all rows, worked off one by one."""
+    rng = random.Random(3)
+    base = [[rng.choice((-1.0, 1.0)) for _ in range(64)] for _ in range(4)]
+
+    def near(v, n):
+        flip = set(rng.sample(range(64), n))
+        return [-x if i in flip else x for i, x in enumerate(v)]
+
+    vectors = [base[0]] * 40 + [near(rng.choice(base), rng.choice((4, 8, 10, 12))) for _ in range(60)]
+    vectors += [vectors[40 + rng.randrange(60)] for _ in range(20)] + [[rng.choice((-1.0, 1.0)) for _ in range(64)]] * 2
+    rng.shuffle(vectors)
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    match = [{j for j, w in enumerate(vectors) if j != i and sum(x != y for x, y in zip(v, w, strict=True)) <= 16} for i, v in enumerate(vectors)]
+    pruned, todo = {}, [set(range(len(vectors)))]
+    while todo:
+        # what is connected, then what leaves it
+        left = todo.pop()
+        while left:
+            line, part = [left.pop()], set()
+            while line:
+                part.add(line[-1])
+                line += match[line.pop()] & left
+                left -= set(line)
+            alive = set(part)
+            while len(alive) > 2:
+                least = min(alive, key=lambda i: (len(match[i] & alive), i))
+                if len(match[least] & alive) >= len(alive) // 2:
+                    break
+                alive.discard(least)
+            if len(alive) > 1:
+                pruned |= dict.fromkeys(alive, min(alive))
+            todo.append(part - alive)
+    head = {}
+    for a, b in sorted((a, b) for a in range(len(vectors)) for b in match[a] if a < b):
+        x, y = head.get(a), head.get(b)
+        if x is None and y is None:
+            head[a] = head[b] = a
+        elif x is None and a in match[y]:
+            head[a] = y
+        elif x is not None and y is None and b in match[x]:
+            head[b] = x
+        elif x is not None and y is not None and x != y and y in match[x]:
+            head |= {i: x for i in head if head[i] == y}
+    got = {name: {r.id: r.grp for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("pruned_groups", "merged_groups")}
+    assert got == {"pruned_groups": pruned, "merged_groups": head}
+
+
+def test_many_copies_make_no_pairs(spark):
+    """3000 copies and three near ones: the pairs of the different four are all there is to hand over."""
+    same = clustering.copies(spark.range(3000).selectExpr("id", "7L as code").union(spark.createDataFrame([(5000, 1), (5001, 2), (5002, 3)], "id long, code long")), "id", "code")
+    pairs = spark.createDataFrame([(0, 5000), (0, 5001), (5001, 5002)], "a long, b long")
+    roots = clustering.components(pairs)
+    want = dict.fromkeys([*range(3000), 5000, 5001], 0)
+    assert {r.id: r.grp for r in clustering.merged_groups(roots, pairs, pairs, same).collect()} == want
+    out = {r.id: r.grp for r in clustering.pruned_groups(roots, pairs.selectExpr("0L as root", "a", "b"), same).collect()}
+    assert out == want
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     roots = {r.id: r.root for r in clustering.components(pairs).collect()}
