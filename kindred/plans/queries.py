@@ -346,7 +346,7 @@ SELECT c.c_custkey AS user_id, coalesce(e.value, c.c_acctbal) AS value FROM cust
 UNION ALL SELECT e.user_id, e.value FROM e WHERE r = 1 AND e.event_type <> 'purchase' AND e.user_id NOT IN (SELECT c_custkey FROM customer)""")
 def current_listing(spark, sf):
     snapshot = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
-    changes = table(spark, sf, "events").where("event_id >= 100").select("user_id", "value", F.col("event_id").alias("batch"), F.when(F.col("event_type") == "purchase", "delete").otherwise("upsert").alias("op"))
+    changes = table(spark, sf, "events").select("user_id", "value", F.col("event_id").alias("batch"), F.when(F.col("event_type") == "purchase", "delete").otherwise("upsert").alias("op"))
     return tables.current(snapshot, changes, "user_id")
 
 

@@ -127,6 +127,12 @@ def test_moves_count_copies_before_they_join(spark):
     assert joined and max(joined) <= 302
 
 
+def test_the_current_listing_takes_the_first_events(spark, tmp_path):
+    spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(5, 1, "click", 10.0), (6, 3, "purchase", 30.0), (7, 9, "view", 90.0)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(tuple(r) for r in QUERIES["current_listing"](spark, str(tmp_path)).collect()) == [(1, 10.0), (2, 2.0), (9, 90.0)]
+
+
 def test_user_conditions_are_conditions_only(spark):
     assert spark.range(5).where(reasons.user_condition("id > 2")).count() == 2
     for bad in ("id > 1; drop table x", "java_method('a', 'b')", "id in (select 1)"):
