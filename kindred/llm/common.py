@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind frames of ``written`` once all that was derived from them is written itself."""
+    for df in frames:
+        if path := _WRITTEN.pop(df, None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def crc_fold(column: str, folds: int) -> Column:
@@ -51,13 +64,15 @@ def crc_fold(column: str, folds: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column | None, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows, the same ones on every run: a documented bound for fitting.
+    """(doc_id, text, y) of at most ``most`` labelled rows, the same ones on every run: a documented bound for fitting.
 
-    Rows without an id, a text or a label teach nothing. ``train`` keeps the rows that may be learnt from.
+    Rows without an id, a text or a label teach nothing. ``train`` keeps the rows that may be learnt from. Of rows
+    that share a doc_id the least text counts, so repeated ids can't bring more rows than ``most``.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     if train is not None:
         marks = marks.where(train)
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marks, "doc_id").select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marks, "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

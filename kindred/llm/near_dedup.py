@@ -5,21 +5,27 @@ is a pair of them, one from either collection, so ``2 * bands * rows`` minhashes
 tables of ``2 * rows`` minhashes. With 8 and 3, a pair of similarity 0.85 shares a table with
 probability (1 - (1 - 0.85 ** 3) ** 8) ** 2 = 0.999, and one of 0.9 with 0.99994.
 
-Steps, each a Spark job over written tables:
-1. one row per text: set size, 128-bit digest of the set, the 16 keys (numpy over Arrow batches);
+Steps, each a Spark job over written tables, which go as soon as what was made of them is written:
+1. one row per text: set size, 128-bit digest of the set, the 16 short keys, a byte of each minhash
+   (numpy over Arrow batches);
 2. texts with equal sets are one class, which its smallest doc_id stands for;
-3. each table key held by two classes or more has a leader, its smallest id; (member, leader) are
-   candidates. First each class is tested with its smallest leader only, then components are formed,
-   and the other candidates are tested where they would still join two components;
-4. the members of a key some of which differ from its leader are dealt into cells by set size, by whether
-   they are in the leader's component, and by a hash, of about ``ROOM`` shingles each. Cells whose sizes allow a
-   link meet two at a time; a task counts the common shingles of all their pairs at once and returns a
-   forest of links. So every pair that shares a key is tested or in one component already, a task holds
-   two cells, and there is no row for a pair.
+3. short keys held by one class are dropped, so only table keys of two shared short keys are formed. Each table
+   key held by two classes or more has a leader, its smallest id; (member, leader) are candidates. Those whose
+   minhashes agree in too few places are left out (``least_agreeing``: a true pair is lost with probability
+   1e-6). The texts of all classes with a shared table key are written once, and each class is tested with its
+   smallest leader; then components are formed, and the other candidates are tested where they would
+   still join two components;
+4. the members of a key some of which are in another component than its leader are dealt into cells by set
+   size, by whether they are in the leader's component, and by a hash. Cells whose sizes allow a link meet two
+   at a time: a task counts in how many minhashes all their pairs agree, without a row for a pair. Only members that
+   agree enough with some other go on, with their texts, to a task that counts the common shingles of
+   all pairs of two cells at once and returns a forest of links. So every pair that shares a key is tested or in
+   one component already. A pair counts in the first key that it shares.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +34,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import written
+from .common import forget, written
 from .components import merged
 
-ROOM = 150_000
+#: What a cell holds: shingles and members, about.
+ROOM, HEADS = 600_000, 2048
+
+
+def least_agreeing(n: int, percent: int, risk: float = 1e-6) -> int:
+    """In how many of ``n`` minhashes a pair agrees at least: one of similarity percent / 100 in fewer with probability ``risk`` at most."""
+    s, below = percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+        if below > risk:
+            return k
+    return n
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as a matrix of bytes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    if not len(column):
+        return np.zeros((0, 1), np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def _agreeing(mins: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of ``mins`` (left x right) agree in ``least`` places."""
+    if len(left) * len(right) < 4096:
+        return (mins[left][:, None] == mins[right][None]).sum(2) >= least
+    agree = np.zeros((len(left), len(right)), np.uint8 if mins.shape[1] < 256 else np.uint16)
+    for h in range(mins.shape[1]):
+        agree += mins[left, h][:, None] == mins[right, h][None]
+    return agree >= least
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray], apart: np.ndarray, percent: int) -> np.ndarray:
@@ -88,19 +125,19 @@ class NearDedup:
         self.k, self.percent, self.bands, self.rows = k, percent, bands, rows
 
     def sketches(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, set digest s0 and s1, key arrays a and b."""
+        """doc_id, row_hash (of the text), n_shingles, set digest s0 and s1, short keys a and b, mins (a byte of each minhash)."""
         k, bands, rows = self.k, self.bands, self.rows
         factors = np.random.default_rng(20240517).integers(1 << 62, dtype=np.uint64, size=(2, 2 * bands * rows)) * np.uint64(2) + np.uint64(1)
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = ta.flat(batch.column(1))
-                sizes, digests, keys = [], [], []
+                data, offsets = ta.flat(batch.column(2))
+                sizes, digests, keys, bytes_ = [], [], [], []
                 for lo, hi in ta.slices(offsets):
                     sets, first = ta.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                     size = np.diff(first)
                     full = np.flatnonzero(size)
-                    digest, key = np.zeros((2, hi - lo), np.uint64), np.zeros((2 * bands, hi - lo), np.uint64)
+                    digest, key, mins = np.zeros((2, hi - lo), np.uint64), np.zeros((2 * bands, hi - lo), np.uint64), np.zeros((hi - lo, 2 * bands * rows), np.uint8)
                     if len(full):
                         ends = np.append(first[:-1][full], len(sets))
                         for i in range(2):
@@ -108,28 +145,59 @@ class NearDedup:
                         for j in range(2 * bands):
                             total = np.zeros(len(full), np.uint64)
                             for i in range(j * rows, j * rows + rows):
-                                total = ta.mix(total + ta.segment_min((sets ^ factors[0, i]) * factors[1, i], ends))
+                                least = ta.segment_min((sets ^ factors[0, i]) * factors[1, i], ends)
+                                mins[full, i] = ta.mix(least) >> np.uint64(56)
+                                total = ta.mix(total + least)
                             key[j, full] = total
                     sizes.append(size)
                     digests.append(digest)
                     keys.append(key)
+                    bytes_.append(mins)
                 if not sizes:
                     continue
-                digest, key = np.concatenate(digests, 1).view(np.int64), np.ascontiguousarray(np.concatenate(keys, 1).view(np.int64))
+                digest, key = np.concatenate(digests, 1).view(np.int64), np.concatenate(keys, 1).view(np.int64)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x.T).ravel()), bands).cast(pa.list_(pa.int64())) for x in (key[:bands], key[bands:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), *lists], names=["doc_id", "n_shingles", "s0", "s1", "a", "b"])
+                mins = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * bands * rows), batch.num_rows, [None, pa.py_buffer(np.concatenate(bytes_).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), *lists, mins],
+                    names=["doc_id", "row_hash", "n_shingles", "s0", "s1", "a", "b", "mins"],
+                )
+
+        rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_hash"), F.col("text").cast("string").alias("text"))
+        return rows_in.mapInArrow(sketch, "doc_id long, row_hash long, n_shingles long, s0 long, s1 long, a array<long>, b array<long>, mins binary")
+
+    def _members(self, classes: DataFrame) -> DataFrame:
+        """(id, leader, key, slot, holders) of each table key that several classes hold; slot is its number among the tables."""
+        bands = self.bands
+        short = classes.select("id", F.posexplode(F.concat("a", "b")).alias("slot", "value")).select("id", "slot", F.xxhash64("slot", "value").alias("short"))
+        held = short.groupBy("short").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("short")
+        mine = short.join(held, "short", "left_semi").groupBy("id").agg(F.collect_list(F.struct("slot", "short")).alias("own"))  # 2 * bands at most
+        left, right = F.filter("own", lambda x: x["slot"] < bands), F.filter("own", lambda x: x["slot"] >= bands)
+        pairs = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct((x["slot"] * bands + y["slot"] - bands).alias("slot"), F.xxhash64(x["short"], y["short"]).alias("key")))))
+        keys = written(mine.select("id", F.explode(pairs).alias("at")).select("id", "at.slot", "at.key"), "keys")
+        leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).where("leader != _last")
+        members = written(keys.join(leaders, "key").select("id", "leader", "key", "slot", F.col("n").alias("holders")), "members")
+        forget(keys)
+        return members
+
+    def _promising(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose set sizes and minhashes allow a link."""
+        percent, least = self.percent, least_agreeing(2 * self.bands * self.rows, self.percent)
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc_id long, n_shingles long, s0 long, s1 long, a array<long>, b array<long>")
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (_bytes(batch.column(i)) for i in (2, 3))
+                keep = pa.array((x == y).sum(1) >= least) if batch.num_rows else pa.array([], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    def _keys(self, sketches: DataFrame, *more: str) -> DataFrame:
-        """(id, key) for each of the tables, and more columns."""
-        each: list[Column] = [F.xxhash64(F.lit(i * self.bands + j), F.col("a")[i], F.col("b")[j]) for i in range(self.bands) for j in range(self.bands)]
-        return sketches.select("id", *more, F.explode(F.array(*each)).alias("key"))
+        x, y = (classes.select(F.col("id").alias(f"_{side}"), F.col("n").alias(f"n_{side}"), F.col("mins").alias(f"mins_{side}")) for side in "ab")
+        met = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b"))
+        met = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        return met.select("a", "b", "mins_a", "mins_b").mapInArrow(judge, "a long, b long")
 
-    def verified(self, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs (a, b) of doc_ids whose full sets are alike enough."""
         k, percent = self.k, self.percent
-        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("_id is not null and text is not null")
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -157,83 +225,131 @@ class NearDedup:
         joined = pairs.join(ra, F.col("a") == F.col("_a"), "left").join(rb, F.col("b") == F.col("_b"), "left")
         return joined.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select(*pairs.columns)
 
-    def _sets(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
-        """id, shingles of the documents with these ids."""
-        k = self.k
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = ta.flat(batch.column(1))
-                for lo, hi in ta.slices(offsets):
-                    sets, first = ta.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["id", "shingles"])
-
+    def _texts(self, ids: DataFrame, docs: DataFrame) -> DataFrame:
+        """_id, text of the documents with these ids, equal rows once."""
         texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where("_id is not null and text is not null")
-        return ids.join(texts, ids["id"] == texts["_id"]).select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+        return texts.join(ids.select("id"), texts["_id"] == ids["id"], "left_semi").distinct()
 
-    def _settled(self, roots: DataFrame, classes: DataFrame, open_pairs: DataFrame, docs: DataFrame) -> DataFrame:
-        """Step 4: each pair of members of the keys of ``open_pairs`` (a, b: the leader, key) is tested or in one component."""
-        percent = self.percent
-        leaders = open_pairs.groupBy("key").agg(F.min("b").alias("leader"))
+    def _settled(self, roots: DataFrame, classes: DataFrame, open_keys: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """Step 4: each pair of members of the ``open_keys`` (key, leader) is tested or in one component."""
+        k, percent, bands, least = self.k, self.percent, self.bands, least_agreeing(2 * self.bands * self.rows, self.percent)
         to = roots.select(F.col("id").alias("_id"), F.col("root").alias("_root"))
-        leaders = leaders.join(to, F.col("leader") == F.col("_id"), "left").select("key", F.coalesce("_root", "leader").alias("chief"))
+        chiefs = open_keys.join(to, F.col("leader") == F.col("_id"), "left").select(F.col("key").alias("_key"), F.coalesce("_root", "leader").alias("chief"))
         band = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
-        members = self._keys(classes, "n").join(leaders, "key").join(to, F.col("id") == F.col("_id"), "left")
+        own = classes.select(F.col("id").alias("_own"), "n", "a", "b", "mins")
         root = F.coalesce("_root", "id")
-        members = written(members.select("id", "n", "key", root.alias("root"), (2 * band + (root == F.col("chief")).cast("int")).cast("long").alias("sort")), "open-members")
+        members = members.join(chiefs, F.col("key") == F.col("_key")).join(to, F.col("id") == F.col("_id"), "left").join(own, F.col("id") == F.col("_own"))
+        members = written(members.select("key", "slot", "id", "n", "a", "b", "mins", root.alias("root"), (2 * band + (root == F.col("chief")).cast("int")).cast("long").alias("sort")), "open-members")
         # the number of cells of each sort (set size and side), a few dozen for a key at most
-        cells = members.groupBy("key", "sort").agg(F.ceil(F.sum("n") / ROOM).alias("cells")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sort", "cells"))).alias("plan"))
-        own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("plan")[F.col("sort")]) + F.col("sort") * (1 << 32)
-        met = []
-        for near in (-1, 0, 1):
-            for side in (0, 1):
-                other = (F.floor(F.col("sort") / 2) + near) * 2 + side
-                count = F.when((F.lit(side) == 0) | (F.col("sort") % 2 == 0), F.coalesce(F.col("plan")[other], F.lit(0))).otherwise(0)
-                met.append(F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda j, other=other: j + other * (1 << 32))).otherwise(F.array().cast("array<bigint>")))
-        dealt = members.join(cells, "key").select("key", "id", "root", own.alias("cell"), F.explode(F.flatten(F.array(*met))).alias("other"))
-        dealt = dealt.select("key", "id", "root", "cell", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"))
-        sets = written(self._sets(members.select("id").distinct(), docs).withColumnRenamed("id", "_id"), "open-sets")
+        cells = F.greatest(F.ceil(F.sum("n") / ROOM), F.ceil(F.count(F.lit(1)) / HEADS))
+        cells = members.groupBy("key", "sort").agg(cells.alias("cells")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sort", "cells"))).alias("plan"))
+        cell = F.pmod(F.xxhash64("id", F.lit(3)), F.col("plan")[F.col("sort")]) + F.col("sort") * (1 << 32)
+
+        def cells_of(near: int, side: int) -> Column:
+            other = (F.floor(F.col("sort") / 2) + near) * 2 + side
+            count = F.when((F.lit(side) == 0) | (F.col("sort") % 2 == 0), F.coalesce(F.col("plan")[other], F.lit(0))).otherwise(0)
+            every = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda j: j + other * (1 << 32))
+            return F.when(count > 0, every).otherwise(F.array().cast("array<bigint>"))
+
+        met = [cells_of(near, side) for near in (-1, 0, 1) for side in (0, 1)]
+        dealt = members.join(cells, "key").withColumn("cell", cell).withColumn("other", F.explode(F.flatten(F.array(*met))))
+        dealt = dealt.select("key", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "slot", "id", "root", "cell", "n", "a", "b", "mins")
+
+        def sift(rows: pa.Table) -> pa.Table:
+            key, low, high, cell, root, n, slot = (np.asarray(rows[c]) for c in ("key", "lo", "hi", "cell", "root", "n", "slot"))
+            mins = _bytes(rows["mins"])
+            keys = [np.asarray(rows[c].combine_chunks().flatten()).reshape(-1, bands) for c in "ab"]
+            order = np.lexsort((high, low, key))
+            new = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
+            go = np.zeros(len(cell), bool)
+            for group in np.split(order, new[1:]):
+                left, right = group[cell[group] == low[group[0]]], group[cell[group] == high[group[0]]]
+                for at in range(0, len(left), 512):
+                    part = left[at : at + 512]
+                    x, y = np.nonzero(_agreeing(mins, part, right, least))
+                    x, y = part[x], right[y]
+                    ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                    x, y = x[ok], y[ok]
+                    first = [(side[x] == side[y]).argmax(1) for side in keys]
+                    here = first[0] * bands + first[1] == slot[group[0]]
+                    go[x[here]] = go[y[here]] = True
+            return rows.filter(pa.array(go)).select(["key", "lo", "hi", "id", "root", "cell"])
+
+        # a task takes many small groups at once
+        bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(1 + members.count() // HEADS))
+        live = written(dealt.groupBy(bucket.alias("bucket")).applyInArrow(sift, "key long, lo long, hi long, id long, root long, cell long"), "open-live")
+        forget(members)
+        if live.isEmpty():
+            return roots
 
         def judge(key: tuple, rows: pa.Table) -> pa.Table:
             cell, ids, root = (np.asarray(rows[c]) for c in ("cell", "id", "root"))
-            values = rows["shingles"].combine_chunks()
-            values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
-            flat_, ends = np.asarray(values.flatten()), np.concatenate([[0], np.cumsum(np.diff(np.asarray(values.offsets)))])
+            data, offsets = ta.flat(rows["text"])
+            sets: list[np.ndarray] = []
+            for lo, hi in ta.slices(offsets):
+                found, first = ta.shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                sets += np.split(found, first[1:-1])
             sides = [np.flatnonzero(cell == key[i].as_py()) for i in (1, 2)]
-            left, right = ([flat_[ends[i] : ends[i + 1]] for i in side] for side in sides)
+            left, right = ([sets[i] for i in side] for side in sides)
             if not left or not right:
                 return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
             x, y = np.nonzero(links(left, right, root[sides[0]][:, None] != root[sides[1]][None], percent))
             a, b = forest(ids[sides[0]][x], ids[sides[1]][y])
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        found = dealt.join(sets, F.col("id") == F.col("_id")).select("key", "lo", "hi", "id", "root", "cell", "shingles")
-        return merged(roots, written(found.groupBy("key", "lo", "hi").applyInArrow(judge, "a long, b long"), "open-links"))
+        found = live.join(texts, F.col("id") == F.col("_id")).select("key", "lo", "hi", "id", "root", "cell", "text")
+        found = written(found.groupBy("key", "lo", "hi").applyInArrow(judge, "a long, b long"), "open-links")
+        forget(live)
+        roots = merged(roots, found)
+        forget(found)
+        return roots
 
-    def components(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept: a row per document."""
+    def _components(self, docs: DataFrame) -> DataFrame:
         sketches = written(self.sketches(docs), "sketches")
         linked = sketches.where("n_shingles > 0 and doc_id is not null")
-        classes = written(linked.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("n_shingles").alias("n")), "classes")
-        keys = self._keys(classes)
-        leaders = written(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).where("leader != _last").select("key", "leader"), "leaders")
-        pairs = written(keys.join(leaders, "key").where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "key"), "candidates")
+        classes = written(linked.groupBy("s0", "s1").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("a", "b", "mins")], F.first("n_shingles").alias("n")), "classes")
+        members = self._members(classes)
+        texts = written(self._texts(members.select("id").distinct(), docs), "texts")
+        pairs = written(self._promising(members.where("id != leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), classes), "candidates")
         first = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        roots = merged(None, written(self.verified(first, docs), "verified"))
-        rest = written(self._crossing(pairs.groupBy("a", "b").agg(F.lit(1).alias("n")).join(first.withColumn("done", F.lit(1)), ["a", "b"], "left_anti").select("a", "b"), roots), "rest")
+        found = written(self.verified(first, texts), "verified")
+        roots = merged(None, found)
+        rest = written(self._crossing(pairs.join(first.withColumnRenamed("b", "_done"), "a").where("b != _done").select("a", "b"), roots), "rest")
+        forget(found, pairs)
         if not rest.isEmpty():
-            roots = merged(roots, written(self.verified(rest, docs), "verified-rest"))
-        open_pairs = written(self._crossing(pairs, roots), "open")
-        if not open_pairs.isEmpty():
-            roots = self._settled(roots, classes, open_pairs, docs)
+            found = written(self.verified(rest, texts), "verified-rest")
+            roots = merged(roots, found)
+            forget(found)
+        forget(rest)
+        # a key of two holders has no pair but (member, leader)
+        open_keys = written(self._crossing(members.where("id != leader and holders > 2").select(F.col("id").alias("a"), F.col("leader").alias("b"), "key"), roots).groupBy("key").agg(F.min("b").alias("leader")), "open")
+        if not open_keys.isEmpty():
+            roots = self._settled(roots, classes, open_keys, members, texts)
+        forget(open_keys, members, texts)
         to = roots.select(F.col("id").alias("_id"), "root")
-        classes = written(classes.join(to, F.col("id") == F.col("_id"), "left").select("s0", "s1", F.coalesce("root", "id").alias("component")), "class-components")
-        own = (sketches["s0"] == classes["s0"]) & (sketches["s1"] == classes["s1"]) & (sketches["n_shingles"] > 0)
-        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-        return sketches.join(classes, own, "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        component = written(classes.join(to, F.col("id") == F.col("_id"), "left").select("s0", "s1", F.coalesce("root", "id").alias("component")), "class-components")
+        forget(classes, roots)
+        own = (sketches["s0"] == component["s0"]) & (sketches["s1"] == component["s1"]) & (sketches["n_shingles"] > 0)
+        found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return sketches.join(component, own, "left").select("doc_id", "row_hash", "n_shingles", found_id.alias("component_id"), F.coalesce(found_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+    def components(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_shingles, component_id, kept: a row per row of ``docs``."""
+        return self._components(docs).drop("row_hash")
 
     def kept(self, docs: DataFrame) -> DataFrame:
-        """The documents less the near duplicates, all columns: of equal rows one stays."""
-        out = self.components(docs).where("kept").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-        unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else docs
-        return unique.join(out, unique["doc_id"].cast("long") == out["_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+        """The documents less the near duplicates, all columns.
+
+        Rows without a doc_id stay. Rows that share a doc_id but not the text stay or go by their own text's
+        component; of rows equal in both one stays.
+        """
+        out = self._components(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+        out = written(out, "survivors")
+        same = (docs["doc_id"].cast("long") == out["_id"]) & (F.xxhash64(docs["text"].cast("string")) == out["_row"])
+        repeated = out.where("_n > 1")
+        if repeated.isEmpty():
+            found = docs.join(out, same, "left_semi")
+        else:
+            twice = docs.join(repeated, same).dropDuplicates(["_id", "_row"]).select(docs.columns)
+            found = docs.join(out.where("_n = 1"), same, "left_semi").unionByName(twice)
+        return found.unionByName(docs.where("doc_id is null"))

@@ -1,13 +1,15 @@
 """Texts of an Arrow batch as flat numpy arrays: words, 64-bit word hashes, shingles and minhashes.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, so the arrays never touch Python
-strings. Hashes are polynomial modulo 2**64 followed by a full mixer. Work goes by slices of about
+strings. A hash chains the 8-byte blocks of a word through a full mixer, so no two words have one hash by
+their structure; long spans are digested by blake2b. Work goes by slices of about
 ``SLICE`` bytes, so the arrays stay small whatever the batch holds; only one very long text can
 make a larger slice.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Spans of more bytes are digested one by one.
+LONG = 128
 _R = np.uint64(0x9E3779B97F4A7C15)
-_RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _M = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,15 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, r in enumerate((_R, _RINV)):
-            p = np.full(n, r, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the n + 1 offsets; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -70,10 +64,21 @@ class Spans:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        blocks = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * _R)
+        left = np.flatnonzero((size > 0) & (size <= LONG))
+        at = 0
+        while len(left):
+            block = blocks[self.start[left] + at] & _MASKS[np.minimum(size[left] - at, 8)]
+            out[left] = mix((out[left] ^ block) * _R + np.uint64(1))
+            at += 8
+            left = left[size[left] > at]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Spans:
@@ -98,7 +103,7 @@ def windows(spans: Spans, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(spans.doc[: len(hashes) - k + 1] == spans.doc[k - 1 :])
     total = np.zeros(len(at), np.uint64)
     for i in range(k):
-        total = (total ^ hashes[at + i]) * _M[i]
+        total = (total ^ hashes[at + i]) * _M[i % len(_M)]
         total ^= total >> np.uint64(29)
     return mix(total), at
 
@@ -118,7 +123,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
         if len(own):
             total = np.full(len(own), short, np.uint64)
             for i in range(short):
-                total = (total ^ hashes[spans.first[own] + i]) * _M[i]
+                total = (total ^ hashes[spans.first[own] + i]) * _M[i % len(_M)]
                 total ^= total >> np.uint64(29)
             found, doc = np.concatenate([found, mix(total + np.uint64(short))]), np.concatenate([doc, own])
     if (np.diff(doc) < 0).any():

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from kindred.llm.near_dedup import NearDedup
+from kindred.llm.near_dedup import NearDedup, least_agreeing
 
 
 def brute(texts, percent=85):
@@ -57,3 +57,61 @@ def test_an_empty_table(spark):
 def test_kept_rows_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 3), (2, "a b c d e f", "y", 4), (None, "a b c d e f", "z", 5)], "doc_id long, text string, root string, n long")
     assert sorted((r.doc_id or 0, r.root) for r in NearDedup().kept(docs).collect()) == [(0, "z"), (1, "x")]
+
+
+def check(spark, texts, **parameters):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r for r in NearDedup(**parameters).components(docs).collect()}
+    roots, sizes = brute(texts, parameters.get("percent", 85))
+    assert [out[i].component_id for i in range(len(texts))] == roots
+    assert [out[i].n_shingles for i in range(len(texts))] == sizes
+    return roots
+
+
+def test_an_open_key_of_many_members(spark):
+    """300 texts share a long passage, so their keys have many members that do not match the leader; some match each other."""
+    rng = random.Random(3)
+    word = lambda: f"u{rng.randrange(10**6)}"
+    passage = [word() for _ in range(150)]
+    texts = []
+    for _ in range(100):
+        tail = [word() for _ in range(60)]
+        texts += [" ".join(passage + tail), " ".join(passage + tail + [word() for _ in range(rng.choice([2, 10, 60]))]), " ".join(passage + [word() for _ in range(60)])]
+    rng.shuffle(texts)
+    roots = check(spark, texts)
+    assert 100 < len(set(roots)) < 300
+
+
+def test_pairs_just_over_the_limit_of_the_pipeline(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"t{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(words), " ".join(words + [f"t{rng.randrange(10**6)}" for _ in range(rng.choice([20, 23, 24, 25, 30]))])]
+    check(spark, texts, percent=80, bands=12)
+
+
+def test_words_of_like_structure_have_their_own_hashes(spark):
+    """Complementary words of this make have one polynomial hash modulo 2**64."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    check(spark, [a, b, f"{a} x y z w", f"{b} x y z w", a])
+
+
+def test_a_very_long_text_and_repeated_ids(spark):
+    long = " ".join(f"w{i % 7919}" for i in range(300_000))
+    docs = spark.createDataFrame([(4, long), (2, long + " end"), (5, "a b c d e f"), (5, "g h i j k l"), (5, "a b c d e f"), (3, "g h i j k l")], "doc_id long, text string")
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in NearDedup().components(docs).collect())
+    assert out == [(2, 2, True), (3, 3, True), (4, 2, False), (5, 3, False), (5, 5, True), (5, 5, True)]
+    assert sorted((r.doc_id, r.text[:1]) for r in NearDedup().kept(docs).collect()) == [(2, "w"), (3, "g"), (5, "a")]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(48, 85), (72, 80), (16, 90)])
+def test_the_least_agreement_loses_one_pair_in_a_million(n, percent):
+    from math import comb
+
+    below = lambda k: sum(comb(n, i) * (percent / 100) ** i * (1 - percent / 100) ** (n - i) for i in range(k))
+    k = least_agreeing(n, percent)
+    assert below(k) <= 1e-6 < below(k + 1)
