@@ -49,20 +49,26 @@ def _trade(low: list[int], high: list[int], lengths: list[int], gap: int) -> tup
             best, found = lengths[i], ([i], [])
     if best == gap:
         return found
-    lows, highs = np.array([lengths[i] for i in low]), np.array([lengths[j] for j in high])
+    # a bin has few distinct lengths (63 at 2048), so all pairs of these are soon tried, however many documents it holds
+    lows, at_low, many = np.unique([lengths[i] for i in low], return_index=True, return_counts=True)
+    highs, at_high = np.unique([lengths[j] for j in high], return_index=True)
     gain = lows[:, None] - highs[None]
     gain[gain > gap] = 0
     k = int(gain.argmax())
     if gain.flat[k] > best:
-        best, found = int(gain.flat[k]), ([low[k // len(high)]], [high[k % len(high)]])
-    if best < gap and 2 <= len(low) <= 64:
-        a, b = np.triu_indices(len(low), 1)
+        best, found = int(gain.flat[k]), ([low[at_low[k // len(highs)]]], [high[at_high[k % len(highs)]]])
+    if best < gap and len(low) >= 2:
+        a, b = np.triu_indices(len(lows))
+        two = (a != b) | (many[a] > 1)
+        a, b = a[two], b[two]
         gain = (lows[a] + lows[b])[:, None] - highs[None]
         gain[gain > gap] = 0
         k = int(gain.argmax())
         if gain.flat[k] > best:
-            p = k // len(high)
-            best, found = int(gain.flat[k]), ([low[a[p]], low[b[p]]], [high[k % len(high)]])
+            p = k // len(highs)
+            first = low[at_low[a[p]]]
+            second = low[at_low[b[p]]] if a[p] != b[p] else next(i for i in low if i != first and lengths[i] == lows[a[p]])
+            best, found = int(gain.flat[k]), ([first, second], [high[at_high[k % len(highs)]]])
     return found
 
 
@@ -187,8 +193,9 @@ class Packer:
                     at += lengths[i]
             return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).drop_columns(["block"])
 
-        # a block of at most a few BLOCK rows of numbers is all that a task ever holds
-        block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks))
+        # a block of at most a few BLOCK rows of numbers is all that a task ever holds; the number of a row in the
+        # written table deals them, so rows of one id, or of none, do not meet in one block
+        block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
         return pieces.withColumn("block", block).groupBy("block").applyInArrow(pack, schema)
 

@@ -1,14 +1,15 @@
 """Exact top-k inner products through a pivot-distance index.
 
-With one more coordinate, sqrt(M**2 - |v|**2) where M is the largest norm (0 for a query), the squared distance of
-query and vector is |q|**2 + M**2 - 2 q.v, so the nearest vectors are those of the largest inner product.
-Each vector is keyed by its nearest pivot and its distance to it, cut into rings: annuli. The directory of
-annuli (pivot, ring, least and largest distance, count) has at most ``pivots * rings`` rows whatever the input.
-By the triangle inequality an annulus bounds the inner product of all its vectors from above.
-
-First each query meets a part of its most promising annulus, which gives its k-th best score so far. Then it
-meets all annuli whose bound reaches that score; the others cannot matter, so the search stops there.
-Annuli are dealt into chunks of about ``chunk`` vectors and queries into batches, so a group in a task is bounded.
+Pivots are spread over a bounded sample by farthest-first choice. Each vector is keyed by its nearest pivot and its
+distance to it, cut into rings: annuli. The directory has, for each annulus, its count, its largest norm and the
+least and largest distance of its vectors to every pivot; it has ``pivots * (rings + 1)`` rows at most whatever the
+input. As 2 q.v = |q|**2 + |v|**2 - |q - v|**2, and by the triangle inequality |q - v| is at least the gap between the
+distance of q to a pivot and the annulus's distances to it, an annulus bounds the inner product of all its vectors from above.
+
+Each query sorts the annuli by their bounds and expands them in rounds: the first ones up to ``first`` vectors, then up to
+a share of all, then the rest. A round meets only annuli whose bound reaches the query's k-th best score so far, which
+tightens from round to round; the search stops where the bounds fall below it. Annuli are dealt into chunks of about
+``chunk`` vectors and queries into batches, so a group in a task is bounded.
 """
 
 from __future__ import annotations
@@ -21,28 +22,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
+from .textarrays import mix
 
 
 @dataclass
 class Directory:
-    pivots: np.ndarray  # with the extra coordinate
-    most: float  # largest norm, squared
-    pivot: np.ndarray
-    ring: np.ndarray
-    near: np.ndarray
+    pivots: np.ndarray
+    near: np.ndarray  # annuli x pivots
     far: np.ndarray
+    norm: np.ndarray  # largest, squared
     count: np.ndarray
     chunks: np.ndarray
-    width: float
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bound of the inner product of each query with the vectors of each annulus, rounded up."""
         own = (queries**2).sum(1)
-        d = np.sqrt(np.maximum(own[:, None] + self.most - 2 * queries @ self.pivots[:, :-1].T, 0))[:, self.pivot]
-        gap = np.maximum(0, np.maximum(d - self.far, self.near - d))
-        gap = np.maximum(gap - 1e-6 * (1 + np.sqrt(self.most)), 0)
-        return (own[:, None] + self.most - gap**2) / 2 * (1 + 1e-9) + 1e-3
+        d = distances(queries, self.pivots)
+        out = np.empty((len(queries), len(self.count)))
+        for i in range(len(queries)):
+            gap = np.maximum(d[i] - self.far, self.near - d[i]).max(1)
+            gap = np.maximum(gap - 1e-6 * (1 + np.sqrt(self.norm)), 0)
+            out[i] = (own[i] + self.norm - gap**2) / 2
+        return out * (1 + 1e-9) + 1e-3
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
+
+
+def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the vectors (fewer, if there are fewer different ones), each the farthest from those before."""
+    chosen = [0]
+    d = ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < n and d.max() > 0:
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
 
 
 def integers(rows: DataFrame) -> DataFrame:
@@ -65,70 +81,94 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 class PivotSearch:
-    """``pivots`` vectors of a bounded sample (the first by hash) key all vectors; see the module's text.
+    """``pivots`` of a bounded ``sample`` (the first vectors by hash) key all vectors; see the module's text.
 
     Vectors of different lengths count as filled up with zeros. Rows that share the query's vec_id are not
-    its candidates; equal vectors under other ids all are. A table without usable vectors gives no rows.
+    its candidates; equal vectors under other ids all are. Of queries that share a vec_id one is asked, that of the
+    least vector. Rows whose id or vector is null, or whose vector is empty or holds null or non-finite components, take
+    no part; equal scores go to the smaller vec_id; a candidate row that comes twice counts twice. A table
+    without usable vectors gives no rows; other columns are ignored. After ``search``, ``share`` is the
+    part of all pairs of query and vector that was compared.
     """
 
-    def __init__(self, k: int = 5, pivots: int = 32, rings: int = 8, chunk: int = 1024, batch: int = 1024):
-        self.k, self.n_pivots, self.rings, self.chunk, self.batch = k, pivots, rings, chunk, batch
+    def __init__(self, k: int = 5, pivots: int = 64, rings: int = 8, chunk: int = 2048, batch: int = 4096, sample: int = 4096, first: int = 512):
+        self.k, self.n_pivots, self.rings, self.chunk, self.batch, self.sample, self.first = k, pivots, rings, chunk, batch, sample, first
+        self.share = 0.0
 
     def build(self, vectors: DataFrame) -> tuple[DataFrame, Directory, int] | None:
         """The index (vec_id, v, annulus, chunk), its directory and the vectors' length."""
-        norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        most, width = vectors.agg(F.max(norm), F.max(F.size("v"))).first()
-        if most is None:
+        width = vectors.agg(F.max(F.size("v"))).first()[0]
+        if width is None:
             return None
-        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.n_pivots).select("v").collect()
-        base = np.unique(_matrix(pa.array([r["v"] for r in sample], pa.list_(pa.int64())), width), axis=0).astype(float)
-        pivots = np.concatenate([base, np.sqrt(np.maximum(most - (base**2).sum(1), 0))[:, None]], 1)
-        ring_width = max(np.sqrt(most) * 2 / (self.rings * 4), 1e-9)
-        rings = self.rings * 4 + 1
+        sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample).select("v").toArrow()["v"]
+        pivots = farthest_first(_matrix(sample, width).astype(float), self.n_pivots)
+        within = distances(_matrix(sample, width).astype(float), pivots).min(1)
+        # rings are cut at the quantiles of the sample; what is farther falls into the last one
+        cuts = np.unique(np.quantile(within, np.linspace(0, 1, self.rings + 1)[1:-1]))
+        rings = len(cuts) + 1
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _matrix(batch.column(1), width).astype(float)
-                x = np.concatenate([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]], 1)
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
+                d = distances(_matrix(batch.column(1), width).astype(float), pivots)
                 nearest = d.argmin(1)
-                r = d[np.arange(len(d)), nearest]
-                ring = np.minimum(r / ring_width, rings - 1).astype(int)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((nearest * rings + ring).astype(np.int32)), pa.array(r)], names=["vec_id", "v", "annulus", "r"])
-
-        keyed = written(vectors.mapInArrow(key, "vec_id long, v array<long>, annulus int, r double"), "keyed")
-        found = keyed.groupBy("annulus").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("near"), F.max("r").alias("far")).orderBy("annulus").collect()
-        annulus = np.array([f["annulus"] for f in found])
-        counts = np.array([f["n"] for f in found])
-        chunks = -(-counts // self.chunk)
-        directory = Directory(pivots, float(most), annulus // rings, annulus % rings, np.array([f["near"] for f in found]), np.array([f["far"] for f in found]), counts, chunks, ring_width)
-        place = F.create_map(*[x for i, a in enumerate(annulus) for x in (F.lit(int(a)), F.array(F.lit(i), F.lit(int(chunks[i]))))])
-        at = place[F.col("annulus")]
-        return keyed.select("vec_id", "v", at[0].alias("annulus"), F.pmod(F.xxhash64("vec_id"), at[1]).cast("int").alias("chunk")), directory, width
-
-    def _asked(self, queries: DataFrame, directory: Directory, width: int, first: bool) -> DataFrame:
-        """A row for each query and chunk it has to meet: annulus, chunk, batch, query_id, v, least (score that matters)."""
+                ring = np.searchsorted(cuts, d[np.arange(len(d)), nearest], "right")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((nearest * rings + ring).astype(np.int32))], names=["vec_id", "v", "annulus"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keyed = written(vectors.mapInArrow(key, "vec_id long, v array<long>, annulus int"), "keyed")
+
+        def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1), width).astype(float)
-                bound = directory.bounds(x)
-                if first:
-                    full = directory.count >= min(64, int(directory.count.max()))
-                    row, annulus = np.arange(len(x)), np.where(full, bound, -np.inf).argmax(1)
-                    chunk = np.zeros(len(row), int)
-                else:
-                    row, annulus = np.nonzero(bound >= np.asarray(batch.column(3), float)[:, None])
+                d, norm = distances(x, pivots), (x**2).sum(1)
+                annuli, at = np.unique(np.asarray(batch.column(0)), return_inverse=True)
+                near, far, most = np.full((len(annuli), len(pivots)), np.inf), np.zeros((len(annuli), len(pivots))), np.zeros(len(annuli))
+                np.minimum.at(near, at, d)
+                np.maximum.at(far, at, d)
+                np.maximum.at(most, at, norm)
+                n = len(pivots)
+                columns = [np.repeat(annuli, n), np.tile(np.arange(n, dtype=np.int32), len(annuli)), near.ravel(), far.ravel(), np.repeat(most, n), np.repeat(np.bincount(at, minlength=len(annuli)), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["annulus", "pivot", "near", "far", "norm", "n"])
+
+        found = keyed.select("annulus", "v").mapInArrow(extent, "annulus int, pivot int, near double, far double, norm double, n long")
+        found = found.groupBy("annulus", "pivot").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.max("norm").alias("norm"), F.sum("n").alias("n")).toPandas().sort_values(["annulus", "pivot"])
+        n = len(pivots)
+        grid = lambda c: found[c].to_numpy().reshape(-1, n)
+        annuli, counts = grid("annulus")[:, 0], grid("n")[:, 0].astype(np.int64)
+        directory = Directory(pivots, grid("near"), grid("far"), grid("norm")[:, 0], counts, -(-counts // self.chunk))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.searchsorted(annuli, np.asarray(batch.column(2)))
+                chunk = mix(np.asarray(batch.column(0)).astype(np.uint64)) % directory.chunks[at].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["vec_id", "v", "annulus", "chunk"])
+
+        return keyed.mapInArrow(place, "vec_id long, v array<long>, annulus int, chunk int"), directory, width
+
+    def _asked(self, queries: DataFrame, directory: Directory, width: int, lo: int, hi: int | None) -> DataFrame:
+        """A row for each query and chunk it has to meet in the round of the annuli from ``lo`` to ``hi`` vectors, in order of their bounds."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    bound = directory.bounds(_matrix(part.column(1), width).astype(float))
+                    order = np.argsort(-bound, 1, kind="stable")
+                    before = np.cumsum(directory.count[order], 1) - directory.count[order]
+                    mine = (before >= lo) & (np.take_along_axis(bound, order, 1) >= np.asarray(part.column(3), float)[:, None])
+                    if hi is not None:
+                        mine &= before < hi
+                    row, position = np.nonzero(mine)
+                    annulus = order[row, position]
                     n = directory.chunks[annulus]
                     row, annulus, chunk = np.repeat(row, n), np.repeat(annulus, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for lo in range(0, len(row), 4096):
-                    r = pa.array(row[lo : lo + 4096])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(annulus[lo : lo + 4096].astype(np.int32)), pa.array(chunk[lo : lo + 4096].astype(np.int32)), *(batch.column(i).take(r) for i in (2, 0, 1, 3))],
-                        names=["annulus", "chunk", "batch", "query_id", "v", "least"],
-                    )
+                    for at in range(0, len(row), 4096):
+                        r = pa.array(row[at : at + 4096])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(annulus[at : at + 4096].astype(np.int32)), pa.array(chunk[at : at + 4096].astype(np.int32)), *(part.column(i).take(r) for i in (2, 0, 3))],
+                            names=["annulus", "chunk", "batch", "query_id", "least"],
+                        )
 
-        return queries.select("query_id", "v", "batch", "least").mapInArrow(run, "annulus int, chunk int, batch int, query_id long, v array<long>, least double")
+        return queries.select("query_id", "v", "batch", "least").mapInArrow(run, "annulus int, chunk int, batch int, query_id long, least double")
 
     def _met(self, asked: DataFrame, index: DataFrame, width: int) -> DataFrame:
         """query_id, vec_id, score: of each group the best k of each query, at least its ``least``."""
@@ -151,26 +191,38 @@ class PivotSearch:
             columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
             return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
-        wanted = written(asked.select("annulus", "chunk", "batch").distinct(), "wanted")
-        vectors = index.join(wanted, ["annulus", "chunk"])
+        vectors = index.join(asked.select(*[F.col(c).alias(c) for c in ("annulus", "chunk", "batch")]).distinct(), ["annulus", "chunk"])
         keys = ["annulus", "chunk", "batch"]
         return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(judge, "query_id long, vec_id long, score long")
 
     def search(self, rows: DataFrame, is_query) -> DataFrame:
         """query_id, rank, vec_id, score for the rows of (vec_id, embedding) where ``is_query`` holds, against all rows."""
-        empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        spark = rows.sparkSession
+        empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
         vectors = integers(rows)
         built = self.build(vectors)
         if not built:
             return empty
         index, directory, width = built
-        queries = vectors.where(is_query).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
-        batches = max(1, -(-queries.count() // self.batch))
-        queries = queries.withColumns({"batch": F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(batches)).cast("int"), "least": F.lit(float("-inf"))})
-        start = self._met(self._asked(queries, directory, width, True), index, width)
+        queries = written(vectors.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
+        n, total = queries.count(), int(directory.count.sum())
+        queries = queries.withColumn("batch", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(max(1, -(-n // self.batch)))).cast("int"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        kth = written(start.withColumn("n", rank).where(F.col("n") == self.k).select(F.col("query_id").alias("_q"), F.col("score").cast("double").alias("_s")), "kth")
-        queries = queries.join(kth, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", "batch", F.coalesce("_s", "least").alias("least"))
-        # the second meeting takes in the first one's part again, so it alone has all that matters
-        found = self._met(written(self._asked(queries, directory, width, False), "asked"), index, width)
-        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
+        found, met = None, 0
+        edges = [0, self.first, max(self.first, total // 8), None]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            known = queries.withColumn("least", F.lit(float("-inf")))
+            if found is not None:
+                kth = found.where(F.col("rank") == self.k).select(F.col("query_id").alias("_q"), F.col("score").cast("double").alias("least"))
+                known = queries.join(kth, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", "batch", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+            asked = written(self._asked(known, directory, width, lo, hi), "asked")
+            counts = asked.groupBy("annulus").agg(F.count(F.lit(1)).alias("n")).collect()
+            met += sum(int(directory.count[r["annulus"]] * r["n"] // directory.chunks[r["annulus"]]) for r in counts)
+            if counts:
+                new = self._met(asked.join(queries.select(F.col("query_id").alias("_q"), "v"), F.col("query_id") == F.col("_q")).drop("_q"), index, width)
+                every = new if found is None else new.unionByName(found.drop("rank"))
+                best = written(every.withColumn("rank", rank.cast("int")).where(F.col("rank") <= self.k), "best")
+                forget(asked, *([] if found is None else [found]))
+                found = best
+        self.share = met / max(1, n * total)
+        return empty if found is None else found.select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,9 @@
 """Quality classifier: a generalised additive model with pairwise interactions, as lookup tables.
 
 Boosting goes round the features: each step fits a shallow tree (a few cuts of one binned feature) to
-the current residuals and adds it to that feature's table. Then the pairs that explain most of what is
-left get two-dimensional tables the same way. A score is a sum of table entries, one fancy index each.
+the current residuals and adds it to that feature's table. Then the pairs whose trees explain most of what is
+left get two-dimensional tables the same way: each step fits a shallow tree that cuts rectangles of two binned
+features. A score is a sum of table entries, one fancy index each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .trees import binned, edges_of
 
 
 class Gam:
-    def __init__(self, rounds: int = 120, pairs: int = 6, rate: float = 0.15, bins: int = 32, pair_bins: int = 6, cuts: int = 3, ridge: float = 4.0):
+    def __init__(self, rounds: int = 120, pairs: int = 6, rate: float = 0.15, bins: int = 32, pair_bins: int = 12, cuts: int = 3, ridge: float = 4.0):
         self.rounds, self.pairs, self.rate, self.bins, self.pair_bins, self.cuts, self.ridge = rounds, pairs, rate, bins, pair_bins, cuts, ridge
 
     def _shallow(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
@@ -48,6 +49,36 @@ class Gam:
             out[lo:hi] = -(at(gb, hi) - at(gb, lo)) / (at(hb, hi) - at(hb, lo) + self.ridge)
         return out
 
+    def _shallow_pair(self, cells: np.ndarray, g: np.ndarray, h: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, float]:
+        """Leaf value for each cell of a tree over two features, each cut the best of those left on either one; what it gains."""
+        size = shape[0] * shape[1]
+        gs, hs = (np.bincount(cells, v, size).reshape(shape) for v in (g, h))
+        leaves, total = [(slice(0, shape[0]), slice(0, shape[1]))], 0.0
+        for _ in range(self.cuts):
+            best, found = 1e-9, None
+            for n, (rows, columns) in enumerate(leaves):
+                own_g, own_h = gs[rows, columns], hs[rows, columns]
+                g0, h0 = own_g.sum(), own_h.sum()
+                for axis in (0, 1):
+                    gl, hl = (np.cumsum(m.sum(1 - axis))[:-1] for m in (own_g, own_h))
+                    if not len(gl):
+                        continue
+                    gain = gl**2 / (hl + self.ridge) + (g0 - gl) ** 2 / (h0 - hl + self.ridge) - g0**2 / (h0 + self.ridge)
+                    k = int(np.argmax(gain))
+                    if gain[k] > best:
+                        best, found = float(gain[k]), (n, axis, k + 1)
+            if found is None:
+                break
+            n, axis, k = found
+            rows, columns = leaves.pop(n)
+            parts = [(slice(x.start, x.start + k), slice(x.start + k, x.stop)) for x in (rows, columns)]
+            leaves += [(part, columns) for part in parts[0]] if axis == 0 else [(rows, part) for part in parts[1]]
+            total += best
+        out = np.zeros(shape)
+        for leaf in leaves:
+            out[leaf] = -gs[leaf].sum() / (hs[leaf].sum() + self.ridge)
+        return out, total
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
         self.edges, self.coarse = edges_of(x, self.bins), edges_of(x, self.pair_bins)
         codes, coarse = binned(x, self.edges), binned(x, self.coarse)
@@ -65,21 +96,15 @@ class Gam:
                 step = self.rate * self._shallow(codes[:, f], p - y, weight(p), len(table))
                 table += step
                 score += step[codes[:, f]]
+        shape = lambda a, b: (len(self.coarse[a]) + 1, len(self.coarse[b]) + 1)
+        cells = lambda a, b: coarse[:, a] * shape(a, b)[1] + coarse[:, b]
         p = 1 / (1 + np.exp(-score))
-        gains = []
-        for a, b in combinations(range(x.shape[1]), 2):
-            width = len(self.coarse[b]) + 1
-            cell = coarse[:, a] * width + coarse[:, b]
-            g, h = (np.bincount(cell, v, (len(self.coarse[a]) + 1) * width) for v in (p - y, weight(p)))
-            gains.append((float((g**2 / (h + self.ridge)).sum()), a, b))
-        for _, a, b in sorted(gains, reverse=True)[: self.pairs]:
-            self.pair_tables.append((a, b, np.zeros((len(self.coarse[a]) + 1, len(self.coarse[b]) + 1))))
+        gains = [(self._shallow_pair(cells(a, b), p - y, weight(p), shape(a, b))[1], a, b) for a, b in combinations(range(x.shape[1]), 2)]
+        self.pair_tables = [(a, b, np.zeros(shape(a, b))) for _, a, b in sorted(gains, key=lambda g: (-g[0], g[1:]))[: self.pairs]]
         for _ in range(self.rounds // 4):
             for a, b, table in self.pair_tables:
                 p = 1 / (1 + np.exp(-score))
-                cell = coarse[:, a] * table.shape[1] + coarse[:, b]
-                g, h = (np.bincount(cell, v, table.size) for v in (p - y, weight(p)))
-                step = -self.rate * (g / (h + 2 * self.ridge)).reshape(table.shape)
+                step = self.rate * self._shallow_pair(cells(a, b), p - y, weight(p), table.shape)[0]
                 table += step
                 score += step[coarse[:, a], coarse[:, b]]
         return self
@@ -98,7 +123,9 @@ class QualityClassifier:
     """``fit`` on at most ``most`` labelled rows outside the held-out fold, then ``score`` any documents.
 
     Only the text is an input of a score. Null, empty and blank texts have all statistics 0 and the score
-    the model gives those; with no label to learn from each score is 0.5.
+    the model gives those; with no label to learn from each score is 0.5. Equal texts have equal scores, and rows
+    that share a doc_id are scored one by one. Very long texts are read whole. Other columns, whatever their
+    names, are ignored; an empty table gives an empty result.
     """
 
     def __init__(self, cut: float = 0.3, folds: int = 5, held: int = 0, most: int = 8000):

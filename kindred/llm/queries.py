@@ -27,8 +27,8 @@ def tokenizer_path(name: str) -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     # the list of archives is written, so that they are there before they are read
-    written(warc.write_archives(warc.planned(table(spark, sf_dir, "pages")), folder), "archives")
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = written(warc.write_archives(warc.planned(table(spark, sf_dir, "pages")), folder), "archives")
+    return warc.read_written(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + n] for n in (4, 5, 6) for i in range(max(1, len(word) - n + 1))}
 
 
-def witnesses(toxic: Counter, clean: Counter, sure: float = 2.0) -> set[str]:
+def witnesses(toxic: Counter, clean: Counter, sure: float = 2.0, least: int = 5) -> set[str]:
     """Words that make texts toxic, by how many toxic and clean texts hold them and their pieces.
 
     A piece tells if its rate in toxic texts over that in clean ones, less one and a half standard errors, is above
@@ -202,19 +202,26 @@ def witnesses(toxic: Counter, clean: Counter, sure: float = 2.0) -> set[str]:
                 g0[g] += n
     odds = lambda a, b, errors: np.log((a + 0.3) / n1 * n0 / (b + 0.3)) - errors * np.sqrt(1 / (a + 0.3) + 1 / (b + 1))
     telling = {g for g, a in g1.items() if a > 1 and odds(a, g0[g], 1.5) > sure}
-    return {w for w, a in toxic.items() if len(w) > 4 and not telling.isdisjoint(_grams(w)) and (clean[w] < 2 or odds(a, clean[w], 0) > sure)}
+    return {w for w, a in toxic.items() if len(w) >= least and not telling.isdisjoint(_grams(w)) and (clean[w] < 2 or odds(a, clean[w], 0) > sure)}
 
 
 class Toxicity:
     """``fit`` on at most ``most`` labelled rows outside the held-out fold, then ``score`` any texts.
 
     Null, empty and blank texts score as a text without any toxic subsequence. With labels of one kind only,
-    every score is 0 (or 1 if all were toxic). Repeated rows score alike; other columns are ignored.
+    every score is 0 (or 1 if all were toxic). Repeated rows score alike; very long texts are read whole; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
+
+    The parameters bound what the machine is trained on, not what it scores: ``least_letters`` of a word that may be an
+    instance (with its two marks), ``landmarks`` of the Nyström map, ``hard`` negatives nearest to the positives by
+    common pieces, ``easy`` ones by chance, ``harder`` ones by the margin of the first turn, ``changed`` easy ones with
+    inserted letters, and about ``grown`` positives with inserted letters.
     """
 
-    def __init__(self, cut: float = 0.7, folds: int = 3, held: int = 1, most: int = 3000):
+    def __init__(self, cut: float = 0.7, folds: int = 3, held: int = 1, most: int = 3000, landmarks: int = 320, least_letters: int = 5, hard: int = 2500, easy: int = 6000, harder: int = 1500, changed: int = 2000, grown: int = 300):
         self.cut, self.folds, self.held, self.most = cut, folds, held, most
-        self.machine, self.curve = Machine(), (0.0, 0.0, -40.0)
+        self.least_letters, self.hard, self.easy, self.harder, self.changed, self.grown = least_letters, hard, easy, harder, changed, grown
+        self.machine, self.curve = Machine(landmarks), (0.0, 0.0, -40.0)
 
     def fit(self, docs: DataFrame, labels: DataFrame) -> Toxicity:
         train = crc_fold("doc_id", self.folds) != self.held
@@ -235,18 +242,18 @@ class Toxicity:
             return self
         rng = np.random.default_rng(11)
         toxic, clean = (Counter(w for b, v in zip(bags, y, strict=True) if v == side for w in b) for side in (1, 0))
-        known = witnesses(toxic, clean)
+        known = witnesses(toxic, clean, least=self.least_letters)
         pos = sorted(known)
         if pos:
-            neg_all = sorted(w for w in clean if len(w) > 4 and w not in known)
+            neg_all = sorted(w for w in clean if len(w) >= self.least_letters and w not in known)
             stems = {g for w in pos for g in _grams(w)}
             near = np.array([len(stems & _grams(w)) / (len(w) + 1) for w in neg_all])
-            hard = {neg_all[i] for i in np.argsort(-near, kind="stable")[:2500]}
-            easy = [neg_all[i] for i in rng.permutation(len(neg_all))[:6000]]
+            hard = {neg_all[i] for i in np.argsort(-near, kind="stable")[: self.hard]}
+            easy = [neg_all[i] for i in rng.permutation(len(neg_all))[: self.easy]]
             for turn in range(2):
-                more = _with_insertions(pos * (1 + 300 // len(pos)), rng)
+                more = _with_insertions(pos * (1 + self.grown // len(pos)), rng)
                 neg = sorted({*hard, *easy})
-                words = pos + more + neg + _with_insertions(easy[:2000], rng)
+                words = pos + more + neg + _with_insertions(easy[: self.changed], rng)
                 sign = np.where(np.arange(len(words)) < len(pos) + len(more), 1.0, -1.0)
                 cost = np.ones(len(words))
                 cost[: len(pos)] = [min(toxic[w], 20) for w in pos]
@@ -254,7 +261,7 @@ class Toxicity:
                 cost[sign > 0] *= 0.25 * (sign < 0).sum() / cost[sign > 0].sum()
                 self.machine.fit(words, sign, cost)
                 if turn == 0:
-                    hard |= {neg_all[i] for i in np.argsort(-self.machine.margins(neg_all), kind="stable")[:1500]}
+                    hard |= {neg_all[i] for i in np.argsort(-self.machine.margins(neg_all), kind="stable")[: self.harder]}
         # logistic curve on the training texts, targets drawn in as Platt does; toxic texts whose label no word explains teach nothing here
         use = [v <= 0 or not known.isdisjoint(b) for b, v in zip(bags, y, strict=True)] if pos else [True] * len(bags)
         bags, y = [b for b, u in zip(bags, use, strict=True) if u], y[np.array(use)]

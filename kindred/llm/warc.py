@@ -19,13 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 ARCHIVE, SAMPLE, DICTIONARY = 16 << 20, 200, 64 << 10
 #: The skippable frame's magic, the version line, the profile of a revisit by payload.
 MAGIC, VERSION = 0x184D2A5D, b"WARC/1.1"
 FRAME = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = uuid.UUID("5f0c4a5e-6d0e-4a51-9a53-0f2d6f8b7c11")
-MOST_HEADER = 1 << 16
 
 
 class WarcError(ValueError):
@@ -45,7 +46,7 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (names in lower case) and block of one record; raises WarcError if anything is amiss."""
     head, mark, rest = record.partition(b"\r\n\r\n")
-    if not mark or len(head) > MOST_HEADER:
+    if not mark:
         raise WarcError("no end of headers")
     lines = head.decode("utf-8").split("\r\n")
     if not re.fullmatch(r"WARC/\d+\.\d+", lines[0]):
@@ -151,29 +152,25 @@ def page_records(page: dict) -> list[tuple[str, str]]:
     return [*out, ("WARC-Block-Digest", "sha1:" + page["payload_digest"])]
 
 
-def planned(pages: DataFrame, least: int = 1000, salts: int = 32) -> DataFrame:
+def planned(pages: DataFrame, least: int = 1000) -> DataFrame:
     """The pages with payload_bytes, payload_digest, record_type, refers_to and copy.
 
     Of payloads that are equal and have ``least`` bytes or more, that with the largest page_id is the response and the
     others revisit it. Null html is empty; smaller payloads and pages without an id are responses. Of repeated
-    rows of the largest page_id all are responses. Only digests that occur twice or more join back, each
-    ``salts`` times, so one payload that a third of all pages has lands in many tasks.
+    rows of the largest page_id all are responses; other columns are ignored, an empty table gives no rows. Only ids
+    and digests are grouped: the revisits are written as a table of numbers, so its size is known where it meets
+    the payloads, and they are shuffled only if it is too large to be sent to all tasks.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    large = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-    several = large.groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first")).where("_first != _last")
-    several = several.select(F.col("payload_digest").alias("_digest"), "_last", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    # small payloads join nothing: their key is null, which hashes by the page instead
-    key = F.when((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull(), F.col("payload_digest"))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")
-    joined = rows.withColumns({"_key": F.coalesce(key, F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("payload_digest")))), "_own": salt})
-    joined = joined.join(several, (F.col("_key") == F.col("_digest")) & (F.col("_own") == F.col("_salt")), "left")
-    other = F.col("_last").isNotNull() & (F.col("_last") != F.col("page_id"))
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("_last")).alias("refers_to"), F.lit(0).alias("copy")
-    )
+    large = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    several = large.groupBy("payload_digest").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first")).where("_first != _last").select(F.col("payload_digest").alias("_digest"), "_last")
+    revisits = large.join(several, (F.col("payload_digest") == F.col("_digest")) & (F.col("page_id") != F.col("_last")))
+    revisits = written(revisits.select(F.col("page_id").alias("_page"), "_digest", "_last").distinct(), "revisits")
+    joined = rows.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    other = F.col("_last").isNotNull()
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(other, "revisit").otherwise("response").alias("record_type"), F.col("_last").alias("refers_to"), F.lit(0).alias("copy"))
 
 
 def write_archives(planned_pages: DataFrame, folder: str) -> DataFrame:
@@ -224,6 +221,30 @@ def write_archives(planned_pages: DataFrame, folder: str) -> DataFrame:
     return planned_pages.mapInArrow(run, "archive string, n_records long, n_bytes long")
 
 
+_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def _rows_of(archive: bytes) -> Iterator[pa.RecordBatch]:
+    """The checked records of one archive, a few MB at a time."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    rows, size = [], 0
+    for h, block in records(archive):
+        number = lambda k: int(h[k]) if re.fullmatch(r"-?[0-9]+", h.get(k, "")) else None  # noqa: B023, E731
+        digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+        revisit = h["warc-type"] == "revisit"
+        if not revisit and digest != hashlib.sha1(block).hexdigest():
+            raise WarcError("the payload's digest differs")
+        rows.append((number("x-page-id"), h.get("warc-target-uri"), number("x-payload-length") if revisit else len(block), digest, h["warc-type"], number("x-refers-to-page-id"), None if revisit else block))
+        size += len(block)
+        if size > 4 << 20:
+            yield batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield batch(rows)
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all *.warc.zst in a folder: ids, type, digest, length, what a revisit refers to, payload.
 
@@ -231,25 +252,33 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for archive in batch.column(0):
-                rows, size = [], 0
-                for h, block in records(archive.as_py()):
-                    number = lambda k: int(h[k]) if re.fullmatch(r"-?[0-9]+", h.get(k, "")) else None  # noqa: B023, E731
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if h["warc-type"] != "revisit" and digest != hashlib.sha1(block).hexdigest():
-                        raise WarcError("the payload's digest differs")
-                    length = number("x-payload-length") if h["warc-type"] == "revisit" else len(block)
-                    rows.append((number("x-page-id"), h.get("warc-target-uri"), length, digest, h["warc-type"], number("x-refers-to-page-id"), None if h["warc-type"] == "revisit" else block))
-                    size += len(block)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield from _rows_of(archive.as_py())
 
     # one archive in an Arrow batch at a time is enough: each is bounded, and a few of them fill a batch
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(run, _READ)
+
+
+def read_written(archives: DataFrame, folder: str) -> DataFrame:
+    """The same records from the archives that a written result of ``write_archives`` names, and from no others.
+
+    What a failed attempt of a task may have left in the folder is not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with system.open_input_stream(f"{top}/{name}", compression=None) as file:
+                    archive = file.read()
+                if len(archive) != size:
+                    raise WarcError(f"{name} has {len(archive)} bytes, not {size}")
+                yield from _rows_of(archive)
+
+    count = archives.count()
+    parts = max(1, min(count, 4 * archives.sparkSession.sparkContext.defaultParallelism), count // 8)
+    return archives.select("archive", "n_bytes").repartition(parts, "archive").mapInArrow(run, _READ)
