@@ -1,7 +1,9 @@
 """From raw documents to packed sequences: quality rules, toxicity, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. Null, empty and very long texts: empty ones fail
+the limits of the first stage, long ones are read whole by each. Rows without a doc_id stay in near_dedup, as they
+link with nothing; of equal rows one stays. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    return NearDedup().kept(docs)
+    """Of each group of near duplicates (similarity 0.8 or more) the document of the smallest doc_id stays."""
+    return NearDedup(percent=80, bands=12).kept(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
