@@ -2,10 +2,14 @@
 
 A page becomes a flat list of nodes (parents before children) and a list of text blocks. What cannot be
 article text is left out first: scripts, menus, headers, footers, asides, forms, hidden parts, and elements whose
-role, or a class or id as a whole, names an advert, a notice, reader comments or the like, unless such a class or id
-holds most of the page's text. Then each block passes points for length and commas to its ancestors, less with each level
+role, or a class or id as a whole, names an advert, a notice, reader comments or the like, unless nearly all of the
+page's text is in such elements. Then each block passes points for length and commas to its ancestors, less with each level
 and through elements whose class or id has such a word in it; a node's points are discounted by its share of
-linked text. The best container and those siblings that score well beside it are kept, in page order.
+linked text, and raised where its class or id is a good name. The best container, the article element around it, if any,
+and those siblings that score well beside it are kept, in page order.
+
+Null and empty pages have no text; repeated rows are read one by one; very long and deeply nested pages are read
+whole, in one pass and without recursion; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead comment comments disqus respond reply replies discussion feedback cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations widget toolbar pagination pager skip copyright hidden paywall outbrain taboola".split()
 )
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
-ALWAYS_BAD = frozenset("ad ads advert adverts advertisement comment comments disqus sponsored cookie sidebar footer".split())
+ALWAYS_BAD = frozenset("ad ads advert adverts advertisement comment comments disqus sponsored cookie sidebar footer nav navigation menu breadcrumb breadcrumbs newsletter share sharing related".split())
 #: Words that leave a bad name what it is: "site-footer", "comments-area".
 PART_WORDS = frozenset("site page area list section box container wrapper wrap block item items inner outer left right top bottom primary secondary col column unit slot bar group row zone".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
@@ -42,22 +46,22 @@ KEPT_ALWAYS = frozenset("html body main article".split())
 
 
 #: What attributes say of an element, and the share of a block's points that goes through it.
-GONE, NAMED, HINTED, PLAIN = 3, 2, 1, 0
-SHARE = {GONE: 0.0, NAMED: 0.25, HINTED: 0.5, PLAIN: 1.0}
+GONE, NAMED, HINTED, PLAIN, LIKED = 3, 2, 1, 0, -1
+SHARE = {GONE: 0.0, NAMED: 0.25, HINTED: 0.5, PLAIN: 1.0, LIKED: 1.0}
+#: By how much a good name raises a container's points, and the text outside of named elements for which they go: characters, share.
+RAISED, ENOUGH = 1.3, (60, 0.1)
 
 
-def _named(token: str, good: bool) -> bool:
-    """Is the class or id as a whole the name of a part that is no article text."""
+def _named(token: str) -> bool:
+    """Is the class or id as a whole the name of a part that is no article text: "share", "site-footer", "promotion-story", "post-comments"."""
     words = [w.lower() for w in _WORD.findall(token) if len(w) > 1]
-    if not any(w in BAD_WORDS for w in words):
+    if not any(w in BAD_WORDS for w in words) or not all(w in BAD_WORDS or w in PART_WORDS or w in GOOD_WORDS for w in words):
         return False
-    if all(w in BAD_WORDS or w in PART_WORDS for w in words):
-        return not good or any(w in ALWAYS_BAD for w in words)
-    return words[-1] in ALWAYS_BAD and all(w in BAD_WORDS or w in PART_WORDS or w in GOOD_WORDS for w in words)
+    return not any(w in GOOD_WORDS for w in words) or words[0] in BAD_WORDS or words[-1] in ALWAYS_BAD
 
 
 def _unwanted(tag: str, attributes: str) -> int:
-    """GONE: hidden, or by its role; NAMED: a class or id is a bad name; HINTED: a bad word is in one; PLAIN."""
+    """GONE: hidden, or by its role; NAMED: a class or id is a bad name; HINTED: a bad word is in one; LIKED: a good name; PLAIN."""
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
@@ -69,11 +73,13 @@ def _unwanted(tag: str, attributes: str) -> int:
         return GONE
     names = f"{found.get('class', '')} {found.get('id', '')}"
     words = {w.lower() for w in _WORD.findall(names)}
-    if tag in ("html", "body", "main") or not words & BAD_WORDS:
+    if tag in ("html", "body", "main"):
         return PLAIN
+    if not words & BAD_WORDS:
+        return LIKED if words & GOOD_WORDS else PLAIN
     if tag == "article" and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored"}:
         return PLAIN
-    return NAMED if any(_named(t, bool(words & GOOD_WORDS)) for t in names.split()) else HINTED
+    return NAMED if any(_named(t) for t in names.split()) else HINTED
 
 
 class Page:
@@ -192,13 +198,17 @@ def main_text(html: str | None) -> str:
     for i in range(1, n):
         gone[i] = gone[i] or gone[page.parent[i]]
     if NAMED in said:
-        held = [0] * n
+        held, inside, outside = [0] * n, [False] * n, 0
+        for i in range(1, n):
+            inside[i] = inside[page.parent[i]] or said[i] == NAMED
         for node, text in page.blocks:
             held[node] += 0 if gone[node] else len(text)
+            outside += 0 if gone[node] or inside[node] else len(text)
         for i in range(n - 1, 0, -1):
             held[page.parent[i]] += held[i]
+        enough = outside >= max(ENOUGH[0], ENOUGH[1] * held[0])
         for i in range(1, n):
-            gone[i] = gone[i] or gone[page.parent[i]] or said[i] == NAMED and 2 * held[i] <= held[0]
+            gone[i] = gone[i] or gone[page.parent[i]] or said[i] == NAMED and (enough or 2 * held[i] <= held[0])
     blocks = [(node, text, linked) for (node, text), linked in zip(page.blocks, page.linked, strict=True) if not gone[node]]
     # of a header inside the article only the headings are its text
     in_header = [t == "header" for t in page.tag]
@@ -226,9 +236,9 @@ def main_text(html: str | None) -> str:
         for counts in (length, links, many):
             counts[page.parent[i]] += counts[i]
     density = [links[i] / length[i] if length[i] else 0.0 for i in range(n)]
-    score = [points[i] * (1 - density[i]) for i in range(n)]
+    score = [points[i] * (1 - density[i]) * (RAISED if said[i] == LIKED else 1) for i in range(n)]
     best = max(range(n), key=lambda i: (score[i], -i))
-    # the article element (or main) that the best container is in holds the rest of it
+    # the score finds the article; the element (or main) around its best container holds the rest of it
     up = best
     while up and page.tag[up] not in ("article", "main"):
         up = page.parent[up]
@@ -239,11 +249,13 @@ def main_text(html: str | None) -> str:
         for i in range(1, n):
             if page.parent[i] == page.parent[best] and i != best and not gone[i]:
                 words = page.tag[i] == page.tag[best] or page.tag[i] in ("p", "pre", "blockquote", "h1", "h2", "h3", "section", "div", "table", "ul", "ol")
-                if words and (score[i] >= max(10.0, 0.2 * score[best]) and density[i] < 0.5 or page.tag[i] in ("p", "pre", "blockquote") and length[i] > 80 and density[i] < 0.25):
+                if words and (score[i] >= max(2.5, 0.25 * score[best]) and density[i] < 0.5 or page.tag[i] in ("p", "pre", "blockquote") and length[i] > 80 and density[i] < 0.25):
                     chosen.add(i)
-    kept = [False] * n
+    # outside of an article element, what is nearly all links is a menu
+    kept, own = [False] * n, [False] * n
     for i in range(n):
-        lists = page.tag[i] in ("ul", "ol", "div", "section", "table") and many[i] >= 3 and density[i] > 0.6
+        own[i] = page.tag[i] in ("article", "main") or i > 0 and own[page.parent[i]]
+        lists = not own[i] and page.tag[i] in ("ul", "ol", "div", "section", "table") and many[i] >= 3 and density[i] > 0.6
         kept[i] = (i in chosen or i > 0 and kept[page.parent[i]]) and not lists
     return "\n\n".join(text for node, text, _ in blocks if kept[node])
 
