@@ -156,6 +156,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded text."""
+    """doc_id, n_tokens, SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded text, a row per row of ``docs``.
+
+    Null and empty texts have no tokens; repeated rows and null ids are encoded one by one; very long texts are encoded
+    whole; other columns are ignored; an empty table gives an empty result.
+    """
     row = lambda b, ids: (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b.decode(ids).encode()).hexdigest())
     return _documents(docs).mapInArrow(_run(path, row, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

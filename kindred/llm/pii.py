@@ -110,7 +110,7 @@ def coded(windows: list[str]) -> np.ndarray:
     return _CLASS[np.minimum(points, 0x24F)].reshape(-1, WIDTH)
 
 
-def spans_for_training(count: int = 5000, seed: int = 31) -> tuple[list[str], np.ndarray]:
+def spans_for_training(count: int = 12_000, seed: int = 31) -> tuple[list[str], np.ndarray]:
     """Windows of text and their tags: labelled spans in made-up sentences."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
@@ -148,6 +148,7 @@ def spans_for_training(count: int = 5000, seed: int = 31) -> tuple[list[str], np
             f"{digits(1)}.{digits(2)}.{digits(1)}", digits(int(rng.integers(1, 9))), f"{digits(3)},{digits(3)}.{digits(2)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"20{digits(2)}", digits(int(rng.integers(20, 30))), f"AB-{digits(5)}",
             " ".join(digits(int(rng.integers(1, 3))) for _ in range(int(rng.integers(3, 9)))), f"{digits(2)}%", f"@{plain()}", f"20{digits(2)}-01-{digits(2)} {digits(2)}:{digits(2)}:{digits(2)}", f"#{digits(6)}", f"{plain()} @ {digits(2)}.{digits(2)}",
             f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"{digits(int(rng.integers(9, 19)))}", f"/{plain()}/{digits(4)}/{digits(2)}",
+            pick(" ", ",", ".").join([digits(int(rng.integers(1, 4))), *(digits(3) for _ in range(int(rng.integers(1, 5))))]) + pick("", "", f" (20{digits(2)})", f" (19{digits(2)})"), f"{digits(1)}-{digits(1)}-{digits(1)}", f"-{digits(2)}.{digits(1)} to {digits(2)}.{digits(1)}",
         )
 
     texts, tags = [], np.zeros((count, WIDTH), np.int64)
@@ -176,7 +177,7 @@ def spans_for_training(count: int = 5000, seed: int = 31) -> tuple[list[str], np
 def trained() -> BiLstmCrf:
     """The tagger: it learns from generated spans only, so it is the same for every table."""
     texts, tags = spans_for_training()
-    return BiLstmCrf(CLASSES, len(KINDS)).fit(coded(texts), tags)
+    return BiLstmCrf(CLASSES, len(KINDS), hidden=20).fit(coded(texts), tags, steps=900)
 
 
 def _windows(text: str, taken: list[tuple[int, int, int]]) -> list[int]:

@@ -270,6 +270,39 @@ def test_trees_are_monotonic():
     assert (np.diff(forest.raw(grid).reshape(40, 60), axis=1) >= -1e-12).all()
 
 
+def test_the_subsequence_kernel_against_plain_loops():
+    """Codes, weights and norms of words against three nested loops; margins against the kernel with each landmark."""
+    from kindred.llm import toxicity as tx
+
+    def features(word):
+        out = Counter()
+        for i, j, k in ((i, j, k) for i in range(len(word)) for j in range(i + 1, len(word)) for k in range(j + 1, len(word))):
+            if k - i < tx.SPAN:
+                out[word[i] + word[j] + word[k]] += tx.DECAY ** (k - i + 1)
+        return out
+
+    words = ["^idiot$", "^banana$", "^aaaa$", "^ok$", "^stupendous$", "^moron$"]
+    kernel = lambda a, b: sum(v * b[t] for t, v in a.items())
+    own = [features(w) for w in words]
+    for part, codes, weight in tx.coded(words):
+        for row, i in enumerate(part):
+            sums = Counter()
+            for c, w in zip(codes[row], weight, strict=True):
+                sums[int(c)] += float(w)
+            assert sorted(sums.values()) == pytest.approx(sorted(own[i].values()), rel=1e-5)
+        assert tx.norms(codes, weight) == pytest.approx([kernel(own[i], own[i]) ** 0.5 for i in part], rel=1e-5)
+    seen, base = tx.dense(words)
+    gram = np.array([[kernel(a, b) / (kernel(a, a) * kernel(b, b)) ** 0.5 for b in own] for a in own])
+    assert base @ base.T == pytest.approx(gram, abs=1e-5)
+    machine = tx.Machine(landmarks=6)
+    machine.fit(words, np.array([1, -1, -1, -1, -1, 1.0]), np.ones(6))
+    value = dict(zip(machine.codes.tolist(), machine.values.tolist(), strict=True))
+    code = lambda t: (int(tx._CODE[ord(t[0])]) * tx.WIDTH + int(tx._CODE[ord(t[1])])) * tx.WIDTH + int(tx._CODE[ord(t[2])])
+    plain = [machine.bias + max(0.0, sum(v * value.get(code(t), 0.0) for t, v in f.items())) / kernel(f, f) ** 0.5 for f in own]
+    assert machine.margins(words) == pytest.approx(plain, abs=1e-4)
+    assert min(plain[0], plain[5]) > max(plain[1:5])
+
+
 def test_flattened_trees_are_walked_as_plain_ones(labelled):
     """The verdict of quality rules against a walk node by node."""
     rules = QualityRules(least_words=5).fit(*labelled)
@@ -324,6 +357,9 @@ def test_empty_tables(spark):
     for model in (Toxicity(), QualityClassifier(), QualityRules()):
         assert model.fit(empty, none).score(empty).collect() == []
     assert packing.Packer(tokenizer_path("word_bpe_49k.json")).packed(empty).collect() == []
+    assert bpe.digests(empty, tokenizer_path("byte_bpe_50k.json")).collect() == []
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.planned(pages).collect() == []
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
