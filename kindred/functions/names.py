@@ -51,8 +51,20 @@ def message_key(message: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(message, "'[^']*'|\"[^\"]*\"", "*"), "[0-9]+", "#")
 
 
+def log_key(severity: Column, message: Column) -> Column:
+    """Severity and message, the inside of quotes as *, each run of digits as #; an open quote swallows the rest."""
+    closed = F.regexp_replace(message, "'[^']*'|\"[^\"]*\"", "\u0001")
+    kinds = F.regexp_extract_all(message, F.lit("('[^']*'|\"[^\"]*\")"), F.lit(1))
+    # one placeholder after the other gets its quotes back
+    parts = F.split(closed, "\u0001")
+    joined = F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.lit(""), lambda s, i: F.concat(s, F.element_at(parts, i), F.when(i <= F.size(kinds), F.concat(F.substring(F.get(kinds, i - 1), 1, 1), F.lit("*"), F.substring(F.get(kinds, i - 1), 1, 1))).otherwise("")))
+    open_ = F.regexp_replace(joined, "^((?:[^'\"]|'\\*'|\"\\*\")*)(['\"])(?!\\*\\2).*$", "$1$2")
+    return F.concat(severity.cast("string"), F.lit("|"), F.regexp_replace(open_, "\\p{Nd}+", "#"))
+
+
 def plain_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    """Letters and digits of any script in lower case, single spaces between."""
+    return F.trim(F.regexp_replace(F.lower(name), "[^\\p{L}\\p{Nd}]+", " "))
 
 
 def group_key(paths: Column) -> Column:

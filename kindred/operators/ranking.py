@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: How far apart neighbours of a series and the ends of a burst may be, for numbers and for times in milliseconds.
+STEP, SPAN = (5, 60_000), (20, 300_000)
+
+
 @dataclass(frozen=True)
 class Criterion:
     """A column to rank by; values within ``near`` (absolute) or ``share`` (of the best) of the best tie with it."""
@@ -62,11 +66,30 @@ def sessions(rows: DataFrame, partition: str, order: list[str], starts: Column)
     return rows.withColumn("session", F.sum(starts.cast("int")).over(w))
 
 
-def burst_neighbours(rows: DataFrame, series: list[str], number: str, gap: float) -> DataFrame:
-    """in_series: is a row's number at most ``gap`` from the one before or after it in its series."""
-    w = Window.partitionBy(*series).orderBy(number)
+def burst_neighbours(rows: DataFrame, series: list[str], number: str, gap: Column | float) -> DataFrame:
+    """in_series: is a row's number at most ``gap`` from the next smaller or larger one in its series; equal numbers are one shot."""
+    w, same = Window.partitionBy(*series).orderBy(number), Window.partitionBy(*series, number)
+    gap = gap if isinstance(gap, Column) else F.lit(gap)
+    before, after = F.lag(number).over(w), F.lead(number).over(w)
+    out = rows.withColumns({"_before": F.when(before != F.col(number), before), "_after": F.when(after != F.col(number), after)})
     near = lambda other: F.coalesce(F.abs(F.col(number) - other) <= gap, F.lit(False))
-    return rows.withColumn("in_series", near(F.lag(number).over(w)) | near(F.lead(number).over(w)))
+    out = out.withColumn("in_series", near(F.min("_before").over(same)) | near(F.max("_after").over(same)))
+    return out.drop("_before", "_after")
+
+
+def burst_pairs(rows: DataFrame, key: str, folder: str, series: str, number: str, timed: str) -> DataFrame:
+    """(a_key, b_key): shots of one series with different numbers close together, one of which at least is in a series of its folder.
+
+    Neighbours are 5 apart at most and a burst spans 20, or 60 and 300 seconds for names that are times (milliseconds).
+    """
+    step, span = F.when(F.col(timed), STEP[1]).otherwise(STEP[0]), F.when(F.col("a_timed"), SPAN[1]).otherwise(SPAN[0])
+    own = burst_neighbours(rows.where(F.col(number).isNotNull()), [folder, series], number, step)
+    cell = F.floor(F.col(number) / F.when(F.col(timed), SPAN[1]).otherwise(SPAN[0]))
+    sides = [own.select(*[F.col(c).alias(f"{s}_{n}") for c, n in ((key, "key"), (series, "series"), (number, "number"), (timed, "timed"), ("in_series", "in"))], cell.alias(f"{s}_cell")) for s in "ab"]
+    b = sides[1].withColumn("cell", F.explode(F.array(*[F.col("b_cell") + d for d in (-1, 0, 1)])))
+    met = sides[0].join(b, (F.col("a_series") == F.col("b_series")) & (F.col("a_timed") == F.col("b_timed")) & (F.col("a_cell") == F.col("cell")))
+    gap = F.abs(F.col("a_number") - F.col("b_number"))
+    return met.where((F.col("a_key") < F.col("b_key")) & (gap > 0) & (gap <= span) & (F.col("a_in") | F.col("b_in"))).select("a_key", "b_key")
 
 
 def fir(rows: DataFrame, partition: str, order: list[str], value: str, taps: list[float]) -> DataFrame:

@@ -13,7 +13,8 @@ from kindred.functions import names
 def group_headers(rows: DataFrame, group: str, size: str, same: list[str], any_of: dict[str, Column]) -> DataFrame:
     """Per group: count, total, what all but the largest take, whether all values of a column are equal, whether any row is so."""
     out = [F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), (F.sum(size) - F.max(size)).alias("wasted")]
-    out += [(F.min(c).eqNullSafe(F.max(c))).alias(f"same_{c}") for c in same]
+    # a missing value is a value too: beside another one it is not the same
+    out += [(F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(0, F.count(F.lit(1)))).alias(f"same_{c}") for c in same]
     return rows.groupBy(group).agg(*out, *[F.bool_or(c).alias(k) for k, c in any_of.items()])
 
 
@@ -51,12 +52,15 @@ def majority_bits(rows: DataFrame, key: list[str], code: str, bits: int) -> Data
 
 
 def odd_ones(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """odd: the row's value is not the group's majority value; with a tie of the most frequent all are odd."""
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    """odd: the row's value is not the group's majority value; with a tie of the most frequent all are odd.
+
+    A missing value counts as a value. All windows share the partitioning by group, so there is one shuffle.
+    """
     w = Window.partitionBy(group)
-    most = counts.withColumn("_most", F.max("_n").over(w)).withColumn("_tied", F.sum((F.col("_n") == F.col("_most")).cast("int")).over(w) > 1)
-    most = most.select(group, value, ((F.col("_n") < F.col("_most")) | F.col("_tied")).alias("odd"))
-    return rows.join(most, [group, value])
+    out = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group, value))).withColumn("_most", F.max("_n").over(w))
+    top = F.when(F.col("_n") == F.col("_most"), F.struct(F.col(value)))
+    tied = F.min(top).over(w) != F.max(top).over(w)
+    return out.withColumn("odd", (F.col("_n") < F.col("_most")) | tied).drop("_n", "_most")
 
 
 def weekly(rows: DataFrame, at: str, kind: str, kinds: list[str], size: str, weeks: int) -> DataFrame:
@@ -73,6 +77,12 @@ def collapsed(rows: DataFrame, session: str, message: str, order: str) -> DataFr
     return keyed.groupBy(session, "message_key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
 
 
+def log_groups(rows: DataFrame, session: str, severity: str, message: str, order: str) -> DataFrame:
+    """(session, log_key, n, first): messages of one session and severity that differ in numbers and quoted parts only."""
+    keyed = rows.withColumn("log_key", names.log_key(F.col(severity), F.col(message)))
+    return keyed.groupBy(session, "log_key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+
+
 def folder_pairs(rows: DataFrame, group: str, folder: str, least: int) -> DataFrame:
     """Pairs of folders that hold copies of each other in ``least`` sets or more."""
     own = rows.select(group, folder).distinct()
