@@ -91,3 +91,71 @@ def folder_pair(a: Column, b: Column) -> Column:
     drop = F.when(differs > 0, differs - 1).otherwise(least).cast("int")
     cut = lambda r: F.array_join(F.reverse(F.slice(r, drop + 1, F.greatest(F.size(r) - drop, F.lit(0)))), "/")
     return F.array_sort(F.array(cut(ra), cut(rb)))
+
+
+#: What copies and edits add to a name, what separates an edit's name, extensions of moving pictures, tokens of languages.
+COPY_OR_EDIT = r"(?i)(\s*\(\d+\)|\s*-\s*copy(\s*\(\d+\))?|\s+copy|[\s_-]*\(?(original|edited)\)?)+$"
+EDIT_SUFFIXES = ["_original", "-original", " (original)", "-edited", "_edited", " (edited)"]
+ANIMATED = ["gif", "webp", "apng", "heics"]
+PIXEL_BURST = r"(?i)^(\d+).*BURST(\d+)"
+TIME_TAKEN = r"^(.*?)(?<!\d)((?:19|20)\d{2})(-?)(\d{2})\3(\d{2})[ _-]?(\d{2})([.:-]?)(\d{2})\7(\d{2})(\d{3})?\D*$"
+NUMBERED = r"^(.*?)(\d{1,18})(\D*)$"
+
+
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
+
+
+def may_be_animated(path: Column) -> Column:
+    return extension(path).isin(ANIMATED)
+
+
+def original_and_edit(a: Column, b: Column) -> Column:
+    """One name is the other's and what an edit adds to it, in any case."""
+    x, y = F.lower(stem(a)), F.lower(stem(b))
+    pairs = [one == F.concat(other, F.lit(suffix)) for suffix in EDIT_SUFFIXES for one, other in ((x, y), (y, x))]
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out | p
+    return out
+
+
+def shot(path: Column) -> Column:
+    """(series, number, timed) that a file's name tells: burst, time taken (milliseconds), last number; null without a number."""
+    name = F.regexp_replace(stem(path), COPY_OR_EDIT, "")
+    got = lambda pattern, i: F.regexp_extract(name, pattern, i)
+    burst = F.rlike(name, F.lit(PIXEL_BURST)) & (F.length(got(PIXEL_BURST, 1)) <= 18)
+    at = F.try_to_timestamp(F.concat_ws(" ", F.concat_ws("-", got(TIME_TAKEN, 2), got(TIME_TAKEN, 4), got(TIME_TAKEN, 5)), F.concat_ws(":", got(TIME_TAKEN, 6), got(TIME_TAKEN, 8), got(TIME_TAKEN, 9))), F.lit("yyyy-MM-dd HH:mm:ss"))
+    ms = F.unix_millis(at) + F.coalesce(got(TIME_TAKEN, 10).try_cast("long"), F.lit(0))
+    told = lambda series, number, timed: F.struct(series.alias("series"), number.alias("number"), F.lit(timed).alias("timed"))
+    by_burst = told(F.concat(F.lit("burst"), got(PIXEL_BURST, 2)), got(PIXEL_BURST, 1).try_cast("long"), False)
+    by_time = told(F.concat(F.lower(got(TIME_TAKEN, 1)), F.lit("@")), ms, True)
+    by_number = told(F.lower(F.concat(got(NUMBERED, 1), F.lit("#"), got(NUMBERED, 3))), got(NUMBERED, 2).try_cast("long"), False)
+    return F.when(burst, by_burst).when(F.rlike(name, F.lit(TIME_TAKEN)) & at.isNotNull(), by_time).when(F.rlike(name, F.lit(NUMBERED)), by_number)
+
+
+def crash_program(folder: Column) -> Column:
+    """The program's name in a crash report's folder: "AppCrash_game.exe_1a2b_..." gives "game.exe"."""
+    return F.when(F.rlike(folder, F.lit(r"(?i)^App[A-Za-z]*_.*?\.exe_")), F.regexp_extract(folder, r"(?i)^App[A-Za-z]*_(.*?\.exe)_", 1))
+
+
+def tags_differ(a: Column, b: Column) -> Column:
+    """Two lists of language tags are both known and not the same set; "?" tells nothing."""
+    known = lambda c: F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda t: F.trim(t)), lambda t: ~t.isin("", "?")))
+    x, y = known(a), known(b)
+    return (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) > 0) | (F.size(F.array_except(y, x)) > 0))
+
+
+STRATEGIES = {"largest": "keep_largest", "longest": "keep_longest", "bestresolution": "keep_best_resolution", "highestquality": "keep_highest_quality"}
+
+
+def strategy_name(text: str) -> str:
+    """The strategy that a user means, in any spelling; raises ValueError for none."""
+    plain = re.sub(r"[^a-z]", "", text.lower()).removeprefix("keep")
+    if plain not in STRATEGIES:
+        raise ValueError(f"no such strategy: {text!r}; one of {', '.join(STRATEGIES.values())}")
+    return STRATEGIES[plain]

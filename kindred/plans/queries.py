@@ -6,31 +6,16 @@ for files with contents, events for listings, journals and logs, pages for paths
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import audio, names, signal
 from kindred.operators import clustering, folders, looks, ranking, readings, reasons, rollups, similarity, timelines
+from kindred.plans.registry import QUERIES, SQL, query
 from kindred.sources import probe, tables
 from kindred.sources.tables import table
 from kindred.streaming import listing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- similarity joins -------------------------------------------------------------------------------------------
 
 _Q8 = "list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(CAST(x AS DOUBLE) * 127, 0))) AS BIGINT))"
@@ -482,3 +467,9 @@ def folder_report(spark, sf):
     drives = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("bytes"))
     caches = table(spark, sf, "customer").where("c_acctbal > 5000").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("bytes"))
     return folders.report({"drives": drives, "caches": caches, "none": drives.where("false")}, "name", "bytes")
+
+
+# the other modules register theirs
+from kindred.plans import listings, media, reporting, verdicts  # noqa: E402, F401
+
+__all__ = ["QUERIES", "SQL"]
