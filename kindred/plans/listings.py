@@ -66,10 +66,10 @@ def first_seen_state(spark, sf):
     return state.observed(old, table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), F.lit("2024-01-01").cast("timestamp"))
 
 
-@query("""SELECT count(*) AS waiting, count(*) FILTER (c_custkey % 100 > 40) AS fresh FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT count(*) AS waiting, count(*) FILTER (c_custkey % 100 > 40) AS fresh FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)""")
 def sets_waiting(spark, sf):
     sets = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return state.waiting(sets, sets.withColumn("first_seen", F.col("key") % 100), table(spark, sf, "orders").select(F.col("o_custkey").alias("key")), F.lit(40))
+    return state.waiting(sets, sets.withColumn("first_seen", F.col("key") % 100), table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("key")), F.lit(40))
 
 
 _ROWS = "r AS (SELECT p_partkey AS id, concat('d', p_size % 4, '/f', p_size, '/', p_partkey) AS path, p_size % 4 AS drive, p_partkey % 3 > 0 AS comparable, p_size % 8 AS flags FROM part)"
