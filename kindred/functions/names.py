@@ -117,11 +117,8 @@ def may_be_animated(path: Column) -> Column:
 def original_and_edit(a: Column, b: Column) -> Column:
     """One name is the other's and what an edit adds to it, in any case."""
     x, y = F.lower(stem(a)), F.lower(stem(b))
-    pairs = [one == F.concat(other, F.lit(suffix)) for suffix in EDIT_SUFFIXES for one, other in ((x, y), (y, x))]
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out | p
-    return out
+    adds = lambda long, short: F.startswith(long, short) & F.substring(long, F.length(short) + 1, F.length(long)).isin(EDIT_SUFFIXES)
+    return adds(x, y) | adds(y, x)
 
 
 def shot(path: Column) -> Column:
