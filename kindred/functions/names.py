@@ -156,3 +156,36 @@ def strategy_name(text: str) -> str:
     if plain not in STRATEGIES:
         raise ValueError(f"no such strategy: {text!r}; one of {', '.join(STRATEGIES.values())}")
     return STRATEGIES[plain]
+
+
+#: Separators of words in names, levels compared from the file up, and the words that name a language or a country.
+NAME_SEPARATORS, NAME_LEVELS = r"[\s_.\-()\[\]{}]+", 4
+LANGUAGE_WORDS = {
+    "en": "en eng english", "de": "de ger deu german deutsch", "fr": "fr fre fra french francais français",
+    "es": "es spa esp spanish espanol español castellano", "it": "it ita italian italiano", "ja": "ja jp jpn jap japanese",
+    "ru": "ru rus russian", "pl": "pl pol polish polski", "pt": "pt por ptb portuguese portugues português brazilian",
+    "nl": "nl dut nld dutch nederlands", "sv": "sv swe swedish svenska", "no": "no nb nor norwegian norsk", "da": "da dan danish dansk",
+    "fi": "fi fin finnish suomi", "cs": "cs cz cze ces czech cesky", "hu": "hu hun hungarian magyar", "tr": "tr tur turkish",
+    "ko": "ko kr kor korean", "zh": "zh cn tw chi zho chs cht chinese", "ar": "ar ara arabic", "el": "el gr gre ell greek",
+    "he": "he heb hebrew", "uk": "ua ukr ukrainian", "ro": "ro rum ron romanian", "bg": "bg bul bulgarian", "hr": "hr hrv croatian",
+    "sk": "sk slk slo slovak", "th": "th tha thai", "vi": "vi vie vietnamese",
+    "us": "us", "gb": "gb uk", "au": "au", "ca": "ca", "at": "at", "ch": "ch", "be": "be", "br": "br", "mx": "mx latam", "hk": "hk",
+}
+
+
+def language_versions(a: Column, b: Column) -> Column:
+    """Two paths name one film in two languages: where they first differ, from the file up, they differ in languages only."""
+    codes = F.create_map(*[F.lit(x) for code, words in LANGUAGE_WORDS.items() for w in words.split() for x in (w, code)])
+
+    def levels(path: Column) -> Column:
+        parts = F.reverse(F.filter(F.split(F.lower(path), "/"), lambda p: p != ""))
+        return F.slice(F.transform(parts, lambda p, i: F.when(i == 0, F.regexp_replace(p, r"\.[^.]*$", "")).otherwise(p)), 1, NAME_LEVELS)
+
+    x, y = levels(a), levels(b)
+    differing = F.filter(F.zip_with(x, y, lambda p, q: F.struct(p.alias("x"), q.alias("y"))), lambda p: p["x"] != p["y"])
+    first = F.get(differing, F.lit(0))
+    words = lambda name: F.filter(F.split(name, NAME_SEPARATORS), lambda w: w != "")
+    rest = lambda name: F.filter(words(name), lambda w: F.try_element_at(codes, w).isNull())
+    told = lambda name: F.sort_array(F.array_distinct(F.filter(F.transform(words(name), lambda w: F.try_element_at(codes, w)), lambda c: c.isNotNull())))
+    differ = (rest(first["x"]) == rest(first["y"])) & (told(first["x"]) != told(first["y"]))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(differ, F.lit(False)))

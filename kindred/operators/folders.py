@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import names
+from kindred.operators.reasons import first_reason
 
 
 def leftovers(folders: DataFrame, claimed: DataFrame, folder: str, size: str, least: int) -> DataFrame:
@@ -43,3 +44,37 @@ def report(categories: dict[str, DataFrame], name: str, size: str) -> DataFrame:
     rows = [d.select(F.lit(c).alias("category"), F.col(name).alias("name"), F.col(size).alias("bytes")) for c, d in categories.items()]
     largest = Window.partitionBy("category").orderBy(F.desc("bytes"), "name")
     return reduce(DataFrame.unionByName, rows).withColumn("place", F.row_number().over(largest))
+
+
+#: Names of folders that scans leave out at any depth and at the top of a drive, and why; what a repository holds.
+LEFT_OUT = {
+    "Windows": ["$*"], "App data": [".*"], "Code": ["node_modules"],
+    "Game library": ["steamapps", "SteamLibrary", "Epic Games", "GOG Games", "EA Games", "Origin Games", "Riot Games", "Ubisoft Game Launcher", "XboxGames", "ModifiableWindowsApps"],
+    "Installed programs": ["WindowsApps"], "Photo app library": ["*.photoslibrary", "*.photolibrary", "*.aplibrary", "*.lrdata", "*.lrlibrary", "*.cocatalog"],
+    "Video editor cache": ["Media Cache Files", "CacheClip"], "Account pictures": ["AccountPictures"],
+}
+LEFT_OUT_AT_TOP = {
+    "Windows": ["Windows", "Windows.old", "Recovery", "PerfLogs", "System Volume Information", "Config.Msi", "ESD"],
+    "Installed programs": ["Program Files", "Program Files (x86)", "Program Files (Arm)"], "App data": ["ProgramData", "OneDriveTemp", "MSOCache"],
+    "Drivers": ["Intel", "AMD", "NVIDIA", "Drivers"], "Web server": ["inetpub"], "Developer tools": ["msys64", "cygwin", "cygwin64"],
+}
+REPOSITORY = [".git", ".hg", ".svn", "$tf", ".plastic", ".bzr", ".fslckout", "_FOSSIL_", ".jj", "_darcs", ".pijul", ".p4config"]
+
+
+def exempt_reason(folder: Column, top: Column, hidden: Column, link: Column, holds: Column, readable: Column | None = None) -> Column:
+    """Why a scan does not walk into a folder: the first rule that holds; null if it does.
+
+    top: is it right below a drive; hidden: hidden and of the system; link: to another folder; holds: names of what lies in it.
+    """
+    name = names.file_name(folder)
+    of = lambda patterns: reduce(Column.__or__, [names.wildcard(name, p) for p in patterns])
+    rules = [(why, of(patterns)) for why, patterns in LEFT_OUT.items()] + [(why, top & of(patterns)) for why, patterns in LEFT_OUT_AT_TOP.items()]
+    rules += [] if readable is None else [("Not readable", ~readable)]
+    return first_reason([*rules, ("Windows", hidden), ("Link to another folder", link), ("Code repository", F.arrays_overlap(holds, F.array(*map(F.lit, REPOSITORY))))])
+
+
+def cleanup_kind(kind: Column, of_game: Column, installed: Column, told_only: Column) -> Column:
+    """The kind of automatic cleaning that takes an item; null for what it never takes: shader caches of installed games, paused downloads, mere hints."""
+    game = F.when(kind.isin("orphan", "workshop"), "leftovers").when(kind.isin("cache", "download"), "caches").when(kind.isin("dump", "crash", "wer"), "dumps").when((kind == "shader") & ~installed, "shaders")
+    other = F.when(kind == "projects", "buildOutputs").when(kind == "worktrees", "worktrees").when(kind.isin("temp", "dumps"), "temp").when(kind == "sysimage", "systemImages")
+    return F.when(of_game & ~told_only, game).when(~of_game, other)

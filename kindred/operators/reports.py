@@ -6,10 +6,13 @@ choices are windows over one partitioning by set, so a set is never gathered in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import names
+from kindred.operators.clustering import written
 
 #: Columns of a member: set, path, image, size, width, height, seconds, kilobits, rate, audio (null: none), modified, taken (null: no capture date), synced.
 ITEM = "grp path image size width height seconds kilobits rate audio modified taken synced".split()
@@ -143,3 +146,92 @@ def dry_run(rows: DataFrame, checked: Column) -> DataFrame:
     """Per set: how many members would go and stay, what that frees, and whether none would stay."""
     out = rows.groupBy("grp").agg(F.count_if(checked).alias("removed"), F.count_if(~checked).alias("kept"), F.coalesce(F.sum(F.when(checked, F.col("size"))), F.lit(0)).alias("freed"))
     return out.where("removed > 0").withColumn("all_go", F.col("kept") == 0)
+
+
+#: Relations of other versions, and how alike in percent what stays with a kept file is.
+OTHER_VERSIONS, ALIKE = ["burst", "language", "soundtrack"], 75.0
+BESIDE = "i_grp i_path i_series i_shot i__shown k__shown relation percent lines_up".split()
+
+
+def _beside_keeper(rest: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The kept row of each set, and the others as i_ columns beside the kept one's k_ columns, with what ``relate`` adds."""
+    kind = rest.withColumn("_photos", F.min_by("image", F.struct(F.lower("path"), "path")).over(Window.partitionBy("grp")))
+    chosen = photo_keepers(kind.where("_photos")).unionByName(video_keepers(kind.where("not _photos"))).drop("_photos", "reason")
+    chosen = written(chosen, "chosen")
+    kept = chosen.where("keep").drop("keep")
+    i, k = (d.select([F.col(c).alias(f"{x}_{c}") for c in rest.columns]) for x, d in (("i", chosen.where("not keep")), ("k", kept)))
+    related = relate(i.join(k, F.col("i_grp") == F.col("k_grp")))
+    # written once, as each later step names the relation several times
+    return kept, written(related.select(*[c for c in BESIDE if c in related.columns]), "beside")
+
+
+def split_by_picture(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(grp, path, part): a set that holds two sets of copies or more becomes one for each, and what copies nothing goes; others stay whole (part 0).
+
+    relate: from rows of i_ and k_ columns (a member, the kept one) the same rows with relation. All sets are worked off at
+    once, in rounds: a round keeps one file a set and takes its copies out, so there are as many rounds as pictures in the set
+    of most, and a row meets one other row a round. Paths are unique within a set.
+    """
+    sizes = Window.partitionBy("grp")
+    rows = written(rows, "rows")
+    rest = rows.withColumn("_n", F.count(F.lit(1)).over(sizes)).where("_n >= 4").drop("_n")
+    done, number = rows.select("grp", "path", F.lit(0).alias("part")).where("false"), 0
+    while not rest.isEmpty():
+        number += 1
+        kept, beside = _beside_keeper(rest, relate)
+        copied = beside.where(F.col("relation").isin(PLAIN)).select(F.col("i_grp").alias("grp"), F.col("i_path").alias("path"))
+        taken = written(kept.select("grp", "path").unionByName(copied).withColumn("part", F.lit(number)), "taken")
+        done, rest = done.unionByName(taken), written(rest.join(taken, ["grp", "path"], "left_anti"), "rest")
+    copies = done.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("grp", "part"))).where("_n > 1").drop("_n")
+    several = copies.groupBy("grp").agg(F.count_distinct("part").alias("_k")).where("_k > 1").select("grp")
+    whole = rows.join(several, "grp", "left_anti").select("grp", "path", F.lit(0).alias("part"))
+    return whole.unionByName(copies.join(several, "grp", "left_semi"))
+
+
+def leave_out(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(grp, path, part): what stays with each kept file, as sets of two or more, in the order found.
+
+    Copies, edits and look-alikes from 75 percent on stay; other versions (by relation, or of one series as another shot that
+    stays) leave, and so do look-alikes of what a set has shown another version of. What is left is judged again around its own
+    kept file. rows: ``ITEM`` with series and shot (null series: none). relate adds relation, percent and lines_up (null: not
+    asked). Rounds as in ``split_by_picture``; the order within a set is by windows.
+    """
+    rest = written(rows.withColumn("_shown", F.lit(False)), "rest")
+    done, number = rest.select("grp", "path", F.lit(0).alias("part")).where("false"), 0
+    plain, same = F.col("relation").isin(PLAIN), F.col("relation") == "identical"
+    while True:
+        rest = written(rest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("grp"))).where("_n > 1").drop("_n"), "rest")
+        if rest.isEmpty():
+            return done
+        number += 1
+        kept, beside = _beside_keeper(rest, relate)
+        other = F.col("relation").isin(OTHER_VERSIONS)
+        alike = (F.col("relation") != "different") & F.coalesce(F.col("percent") >= ALIKE, F.lit(False)) & (plain | ~(F.col("k__shown") | F.col("i__shown"))) & F.coalesce("lines_up", F.lit(True))
+        place = F.row_number().over(Window.partitionBy("i_grp").orderBy(same.desc(), plain.desc(), F.col("percent").desc(), "i_path"))
+        judged = beside.withColumns({"_same": same, "_other": other & ~same, "_may": ~same & ~other & alike, "_place": place})
+        # within a series the identical ones come first; after them the shot of the first that stays
+        series = Window.partitionBy("i_grp", "i_series")
+        before = series.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        shot = F.when(F.col("_same") | F.col("_may"), F.col("i_shot"))
+        own = F.when(F.col("_same"), F.col("i_shot"))
+        judged = judged.withColumns({"_first": F.first(shot, ignorenulls=True).over(before), "_low": F.min(own).over(series), "_high": F.max(own).over(series)})
+        sibling = F.coalesce(F.col("i_series").isNotNull() & ((F.col("_first") != F.col("i_shot")) | (F.col("_first").isNotNull() & (F.col("_low") != F.col("_high")))), F.lit(False))
+        judged = judged.select(F.col("i_grp").alias("grp"), F.col("i_path").alias("path"), (F.col("_same") | (F.col("_may") & ~sibling)).alias("stays"), (~F.col("_same") & (F.col("_other") | sibling)).alias("version"))
+        judged = written(judged.unionByName(kept.select("grp", "path", F.lit(True).alias("stays"), F.lit(False).alias("version"))), "judged")
+        sets = judged.groupBy("grp").agg((F.count_if("stays") > 1).alias("_set"))
+        done = done.unionByName(judged.where("stays").join(sets.where("_set"), "grp", "left_semi").select("grp", "path", F.lit(number).alias("part")))
+        rest = rest.join(judged.where("not stays").select("grp", "path", "version"), ["grp", "path"]).join(sets, "grp")
+        rest = rest.withColumn("_shown", F.col("_shown") | (F.col("version") & F.col("_set"))).drop("version", "_set")
+
+
+def pair_walk(decisions: DataFrame, count: str) -> DataFrame:
+    """Per step of a walk through a set's files: left, right, check, keep (-1: neither) and finished.
+
+    decisions: grp, step (from 1, one for each pair), decision (left, right, other: none) and the number of files in ``count``.
+    The first file begins on the left; a challenger that wins stays there.
+    """
+    before = Window.partitionBy("grp").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.coalesce(F.max(F.when(F.col("decision") == "right", F.col("step"))).over(before), F.lit(0))
+    out = decisions.where(F.col("step") < F.col(count)).withColumns({"left": left.cast("int"), "right": F.col("step").cast("int")})
+    side = lambda a, b: F.when(F.col("decision") == "left", F.col(a)).when(F.col("decision") == "right", F.col(b)).otherwise(-1)
+    return out.withColumns({"check": side("right", "left"), "keep": side("left", "right"), "finished": F.col("step") + 1 >= F.col(count)})

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import media, names
-from kindred.operators import ranking, reasons, reports, rollups
+from kindred.operators import folders, ranking, reasons, reports, rollups
 from kindred.plans.registry import query
 from kindred.sources.tables import table
 
@@ -64,6 +65,64 @@ def _related(spark, sf):
     return both.select(F.col("i_grp").alias("grp"), F.col("i_n").alias("n"), F.col("i_path").alias("path"), F.col("i_size").alias("size"), reports.relation(*sides, facts).alias("relation"))
 
 
+def relate(pairs):
+    """Facts on members and kept ones made from their numbers, and the relation by them."""
+    sides = [{c: F.col(f"{x}_{c}") for c in reports.ITEM} for x in "ik"]
+    f = F.col("i_n") * 31 + F.col("i_grp") + F.col("k_n") * 7
+    facts = {
+        "burst": f % 19 == 0, "language": f % 7 == 0, "same_bytes": f % 3 == 0, "sound": 85 + f % 9, "gray": 99 + (f % 10) / F.lit(10.0), "ai": 90 + f % 11, "cell": f % 13, "close": f % 17 != 0,
+        "words": F.when(f % 23 == 0, "differs").when(f % 29 == 0, "unrelated").otherwise("same"),
+    }
+    return pairs.withColumns({"relation": reports.relation(*sides, facts), "percent": (70 + f % 30).cast("double"), "lines_up": f % 11 > 0})
+
+
+def _numbered_members(spark, sf):
+    # lines of one order may have one path; sets need each path once
+    m = _members(spark, sf)
+    m = m.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("n", *[c for c in m.columns if c not in ("grp", "n")]))).withColumn("path", F.concat("path", F.lit("#"), F.col("n").cast("string")))
+    return m.withColumns({"series": F.when(F.col("n") % 3 > 0, F.col("n") % 2), "shot": F.col("n") % 4})
+
+
+@query()
+def picture_sets(spark, sf):
+    return reports.split_by_picture(_numbered_members(spark, sf), relate)
+
+
+@query()
+def related_sets(spark, sf):
+    return reports.leave_out(_numbered_members(spark, sf), relate)
+
+
+@query("""WITH d AS (SELECT l_orderkey AS grp, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS step, CASE l_partkey % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'skip' END AS decision, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+w AS (SELECT grp, step, decision, n, coalesce(max(CASE WHEN decision = 'right' THEN step END) OVER (PARTITION BY grp ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM d WHERE step < n)
+SELECT grp, step, CASE decision WHEN 'left' THEN step WHEN 'right' THEN l ELSE -1 END AS "check", CASE decision WHEN 'left' THEN l WHEN 'right' THEN step ELSE -1 END AS keep, step + 1 >= n AS finished FROM w""")
+def pair_walks(spark, sf):
+    part, step = F.col("l_partkey") % 3, F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    steps = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("grp"), step.alias("step"), F.when(part == 0, "left").when(part == 1, "right").otherwise("skip").alias("decision"))
+    steps = steps.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grp")))
+    return reports.pair_walk(steps, "n").select("grp", "step", "check", "keep", "finished")
+
+
+@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Game library' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'Drivers' WHEN p_partkey % 3 = 0 THEN 'Windows' END WHEN 2 THEN 'Photo app library'
+WHEN 3 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Windows' WHEN p_partkey % 5 = 0 THEN 'Link to another folder' WHEN p_partkey % 7 = 0 THEN 'Code repository' END WHEN 4 THEN 'App data' ELSE 'Windows' END AS reason,
+CASE p_size % 6 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'shaders' END WHEN 1 THEN 'leftovers' WHEN 2 THEN NULL WHEN 3 THEN 'buildOutputs' WHEN 4 THEN 'temp' END AS cleaned FROM part""")
+def folder_rules(spark, sf):
+    key, n = F.col("p_partkey"), F.col("p_size") % 6
+    name = F.when(n == 0, "STEAMAPPS").when(n == 1, "amd").when(n == 2, "Mine.photoslibrary").when(n == 3, "plain").when(n == 4, ".cache").otherwise("$Recycle.Bin")
+    holds = F.when(key % 7 == 0, F.array(F.lit("src"), F.lit(".hg"))).otherwise(F.array(F.lit("src")))
+    reason = folders.exempt_reason(F.concat(F.lit("/d/"), name), key % 2 == 0, key % 3 == 0, (key % 5 == 0) & (n == 3), F.when(n == 3, holds).otherwise(F.array().cast("array<string>")))
+    kind = F.when(n == 0, "shader").when(n == 1, "workshop").when(n == 2, "dump").when(n == 3, "projects").when(n == 4, "dumps").otherwise("scene")
+    return table(spark, sf, "part").select("p_partkey", reason.alias("reason"), folders.cleanup_kind(kind, n < 3, key % 2 != 0, n == 2).alias("cleaned"))
+
+
+@query("""SELECT c_custkey, c_custkey % 6 IN (0, 1, 4) AS versions FROM customer""")
+def language_versions(spark, sf):
+    k = F.col("c_custkey") % 6
+    left = F.when(k == 0, "/g/Movies/English/intro.bik").when(k == 1, "/g/intro.wmv").when(k == 2, "/g/intro_en.wmv").when(k == 3, "/g/en/outro.wmv").when(k == 4, "/a/b/Intro (pt-BR).mkv").otherwise("/g/a.mkv")
+    right = F.when(k == 0, "/x/movies/German/INTRO.bik").when(k == 1, "/g/intro_fr.wmv").when(k == 2, "/g/intro-eng.wmv").when(k == 3, "/g/de/intro.wmv").when(k == 4, "/a/c/intro [pt].mkv").otherwise("/g/a.mkv")
+    return table(spark, sf, "customer").select("c_custkey", names.language_versions(left, right).alias("versions"))
+
+
 @query(f"WITH {_RELATED} SELECT grp, n, relation FROM z")
 def relations(spark, sf):
     return _related(spark, sf).select("grp", "n", "relation")
