@@ -17,6 +17,7 @@ from .pivot_search import PivotSearch
 from .quality_gam import QualityClassifier
 from .quality_rules import QualityRules
 from .toxicity import Toxicity
+from .vector_codes import VectorCodes
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,16 +72,48 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier().fit(docs, table(spark, sf_dir, "labels")).score(docs)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    codes = VectorCodes().fit(rows)
+    return codes.errors(codes.coded(rows)).select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return LineDedup().kept(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op8_pii, op9_packing, op10_quality_classifier, op13_line_dedup)
+    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op8_pii, op9_packing, op10_quality_classifier, op12_vector_codes, op13_line_dedup)
 }
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codebooks round by round: every part against every entry of its position."""
+    distance = "CAST(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    assigned = "SELECT v.vec_id, v.part, first(b.entry ORDER BY {d}, b.entry) AS entry, min({d}) AS d FROM v JOIN b{r} b ON b.part = v.part GROUP BY v.vec_id, v.part"
+    steps = [
+        f"i AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS MATERIALIZED (SELECT vec_id, label, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x FROM i, (SELECT unnest(range({parts})) AS part))",
+        f"b0 AS MATERIALIZED (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x FROM v QUALIFY entry < {entries})",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({assigned.format(d=distance, r=r)})",
+            f"s{r} AS (SELECT part, entry, k, CAST(sum(y) AS BIGINT) AS total, count(*) AS n FROM (SELECT a.part, a.entry, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS k FROM a{r} a JOIN v USING (vec_id, part)) GROUP BY part, entry, k)",
+            f"m{r} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY k) AS x FROM s{r} GROUP BY part, entry)",
+            f"b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m USING (part, entry))",
+        ]
+    steps += [
+        f"a{rounds} AS MATERIALIZED ({assigned.format(d=distance, r=rounds)})",
+        f"c AS (SELECT vec_id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY i.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM c JOIN i USING (vec_id), h"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op1_warc": """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
