@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_text, warc
+from .block_max import BlockMax
 from .common import new_folder, table, written
 from .line_dedup import LineDedup
 from .near_dedup import NearDedup
@@ -72,6 +73,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QualityClassifier().fit(docs, table(spark, sf_dir, "labels")).score(docs)
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BlockMax().search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     codes = VectorCodes().fit(rows)
@@ -84,7 +89,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op8_pii, op9_packing, op10_quality_classifier, op12_vector_codes, op13_line_dedup)
+    f.__name__: f for f in (op1_warc, op2_toxicity, op3_near_dedup, op4_quality_rules, op5_bpe, op6_topk, op7_html_text, op8_pii, op9_packing, op10_quality_classifier, op11_block_max, op12_vector_codes, op13_line_dedup)
 }
 
 
@@ -113,6 +118,26 @@ def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int =
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_block_max": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), s AS (
+  SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY r
+), g AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM s
+), p AS (
+  SELECT r, term, count(*) AS tf FROM d GROUP BY r, term
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, n_docs
+), q AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (
+  SELECT q.i, q.item_id, s.doc_id, s.r, CAST(sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + (75 * s.n * g.n_docs) // g.n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN s ON s.r = p.r, g GROUP BY q.i, q.item_id, s.doc_id, s.r
+), o AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM c WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op12_vector_codes": _codes_sql(),
     "op1_warc": """
 WITH p AS (
