@@ -8,16 +8,38 @@ line are dealt over ``slices`` tasks; what is broadcast, if anything, Spark deci
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The white space that is stripped, and the letters that are lower-cased.
-SPACE = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from . import textarrays as ta
+
+
+def digests(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Text, position and digest of the lines whose keys have ``least`` code points or more."""
+    n = len(offsets) - 1
+    cut = np.flatnonzero(data == 10)
+    start, end = np.sort(np.concatenate([offsets[:-1], cut + 1])), np.sort(np.concatenate([offsets[1:], cut]))
+    lines = 1 + np.searchsorted(cut, offsets[1:]) - np.searchsorted(cut, offsets[:-1])
+    text = np.repeat(np.arange(n), lines)
+    position = np.arange(len(text)) - np.repeat(np.cumsum(lines) - lines, lines)
+    solid = np.flatnonzero(~((data == 32) | ((data >= 9) & (data <= 13))))
+    left, right = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    own = np.flatnonzero(right > left)
+    a, b = solid[left[own]], solid[right[own] - 1] + 1
+    long_ = points[b] - points[a] >= least
+    own, a, b = own[long_], a[long_], b[long_]
+    lower = (data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)).tobytes()
+    return text[own], position[own], [hashlib.blake2b(lower[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, UPPER.lower())
+def _print() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 class LineDedup:
@@ -34,11 +56,19 @@ class LineDedup:
 
     def lines(self, docs: DataFrame) -> DataFrame:
         """(doc_id, print, slice, position, digest) of the lines whose keys count; print tells texts of one doc_id apart."""
-        text = F.coalesce("text", F.lit(""))
-        slice_ = F.pmod(F.xxhash64(F.coalesce("doc_id", "print")), F.lit(self.slices)).cast("int")
-        rows = docs.select("doc_id", F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n", -1)).alias("position", "line"))
-        keys = rows.select("doc_id", "print", slice_.alias("slice"), "position", key_of(F.col("line")).alias("key"))
-        return keys.where(F.char_length("key") >= self.least).select("doc_id", "print", "slice", "position", F.unhex(F.md5("key")).alias("digest"))
+        least = self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = ta.flat(batch.column(2))
+                for lo, hi in ta.slices(offsets):
+                    text, position, found = digests(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], least)
+                    at = pa.array(text + lo)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(position.astype(np.int32)), pa.array(found, pa.binary())], names=["doc_id", "print", "position", "digest"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = docs.select("doc_id", _print().alias("print"), "text").mapInArrow(run, f"doc_id {kind}, print long, position int, digest binary")
+        return rows.withColumn("slice", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), "print")), F.lit(self.slices)).cast("int"))
 
     def shared(self, lines: DataFrame) -> DataFrame:
         """(digest, slice, last): keys held by enough documents, for each slice that has them, and the largest doc_id."""
@@ -56,13 +86,13 @@ class LineDedup:
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """docs with kept (the text of the lines that stay), n_lines and n_dropped, in place of columns of these names."""
-        text = F.coalesce("text", F.lit(""))
-        own = docs.select(F.struct("*").alias("row"), text.alias("whole"), F.xxhash64(text).alias("print"), F.split(text, "\n", -1).alias("lines"))
+        own = docs.select(F.struct("*").alias("row"), _print().alias("print"))
         gone = self.dropped(docs).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "positions")
         rows = own.join(gone, own["row.doc_id"].eqNullSafe(gone["_id"]) & (own["print"] == gone["_print"]), "left")
+        whole = F.coalesce("row.text", F.lit(""))
+        rows = rows.select("row", whole.alias("whole"), F.split(whole, "\n", -1).alias("lines"), F.coalesce(F.size("positions"), F.lit(0)).alias("n"), "positions")
         # the runs of lines between dropped ones: constant work a line, whatever the text's length
-        ends = F.concat(F.array(F.lit(-1)), F.col("positions"), F.array(F.size("lines")))
-        rows = rows.select("row", "whole", "lines", F.coalesce(F.size("positions"), F.lit(0)).alias("n"), ends.alias("ends"))
+        rows = rows.withColumn("ends", F.concat(F.array(F.lit(-1)), F.col("positions"), F.array(F.size("lines"))))
         runs = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.slice("lines", F.get("ends", i) + 2, F.get("ends", i + 1) - F.get("ends", i) - 1))
         kept = F.when(F.col("n") == 0, F.col("whole")).otherwise(F.array_join(F.flatten(runs), "\n"))
         new = {"kept": kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.col("n").cast("long")}

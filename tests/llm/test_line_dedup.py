@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from kindred.llm.line_dedup import SPACE, LineDedup
+from kindred.llm.line_dedup import LineDedup
 
+SPACE = " \t\n\x0b\x0c\r"
 LONG = "All rights of this page are reserved by its publisher and authors"
 
 
