@@ -39,8 +39,11 @@ ALWAYS_BAD = frozenset("ad ads advert adverts advertisement comment comments dis
 #: Words that leave a bad name what it is: "site-footer", "comments-area".
 PART_WORDS = frozenset("site page area list section box container wrapper wrap block item items inner outer left right top bottom primary secondary col column unit slot bar group row zone".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value right after "=" only; elsewhere, as in href=/o'brien, it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+#: Commas of Latin, Chinese, Japanese and Arabic script.
+_COMMA = re.compile("[,\uff0c\u3001\u060c]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KEPT_ALWAYS = frozenset("html body main article".split())
 
@@ -222,7 +225,7 @@ def main_text(html: str | None) -> str:
         length[node] += len(text)
         links[node] += linked
         many[node] += linked > 0
-        own = 1 + min(len(text) / 100, 3) + text.count(",")
+        own = 1 + min(len(text) / 100, 3) + len(_COMMA.findall(text))
         up, share = node if page.tag[node] in ("div", "article", "section", "main", "td", "body") else page.parent[node], 1.0
         if up != node:
             own *= SHARE[said[node]]

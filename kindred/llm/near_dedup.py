@@ -242,7 +242,8 @@ class NearDedup:
         members = written(members.select("key", "slot", "id", "n", "a", "b", "mins", root.alias("root"), (2 * band + (root == F.col("chief")).cast("int")).cast("long").alias("sort")), "open-members")
         # the number of cells of each sort (set size and side), a few dozen for a key at most
         cells = F.greatest(F.ceil(F.sum("n") / ROOM), F.ceil(F.count(F.lit(1)) / HEADS))
-        cells = members.groupBy("key", "sort").agg(cells.alias("cells")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sort", "cells"))).alias("plan"))
+        sizes = written(members.groupBy("key", "sort").agg(cells.alias("cells"), F.count(F.lit(1)).alias("members")), "open-sizes")
+        cells = sizes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("sort", "cells"))).alias("plan"))
         cell = F.pmod(F.xxhash64("id", F.lit(3)), F.col("plan")[F.col("sort")]) + F.col("sort") * (1 << 32)
 
         def cells_of(near: int, side: int) -> Column:
@@ -275,10 +276,11 @@ class NearDedup:
                     go[x[here]] = go[y[here]] = True
             return rows.filter(pa.array(go)).select(["key", "lo", "hi", "id", "root", "cell"])
 
-        # a task takes many small groups at once
-        bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(1 + members.count() // HEADS))
+        # a task takes many small groups at once; a member is dealt to each cell that it meets
+        rows = sizes.join(cells, "key").agg(F.sum(F.col("members") * F.size(F.flatten(F.array(*met))))).first()[0] or 0
+        bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(1 + rows // HEADS))
         live = written(dealt.groupBy(bucket.alias("bucket")).applyInArrow(sift, "key long, lo long, hi long, id long, root long, cell long"), "open-live")
-        forget(members)
+        forget(members, sizes)
         if live.isEmpty():
             return roots
 

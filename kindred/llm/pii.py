@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -180,12 +181,31 @@ def trained() -> BiLstmCrf:
     return BiLstmCrf(CLASSES, len(KINDS), hidden=20).fit(coded(texts), tags, steps=900)
 
 
+class Taken:
+    """Spans (kind, start, end), joined where they meet, so one bisection tells whether a stretch meets any of them."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b) - 1
+        return i >= 0 and self.ends[i] > a
+
+
 def _windows(text: str, taken: list[tuple[int, int, int]]) -> list[int]:
     """Starts of the windows that hold four digits, or an @, that no span of a pattern took."""
     digits: dict[int, int] = {}
+    spans = Taken(taken)
     for m in _CUE.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for _, s, e in taken):
+        if not spans.meets(a, b):
             for cell in range(a // HALF, (b - 1) // HALF + 1):
                 digits[cell] = digits.get(cell, 0) + (min(b, (cell + 1) * HALF) - max(a, cell * HALF) if m[0][0].isdigit() else 4)
     last = max(0, -(-len(text) // HALF) - 2)
@@ -207,7 +227,7 @@ def reconciled(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     best: list[tuple[float, int, int]] = []  # weight so far, the span taken or -1, where to go on
     ends = [f[2] for f in joined]
     for i, (_, s, _, w) in enumerate(joined):
-        before = int(np.searchsorted(ends[:i], s, "right")) - 1
+        before = bisect_right(ends, s, 0, i) - 1
         take, leave = w + (best[before][0] if before >= 0 else 0.0), best[i - 1][0] if i else 0.0
         best.append((take, i, before) if take > leave else (leave, -1, i - 1))
     out, i = [], len(joined) - 1
@@ -256,7 +276,8 @@ class PersonalData:
         for d, t in enumerate(texts):
             # an opening bracket whose other side is in the span belongs to it
             own = [(k, s - (s > 0 and t[s - 1] == "(" and t.count(")", s, e) > t.count("(", s, e)), e) for k, s, e in reconciled(found[d])] if d in found else []
-            more = [(k, s, e) for k, s, e in own if not any(a < e and s < b for _, a, b in base[d]) and valid(KINDS[k], t[s:e])]
+            taken = Taken(base[d]) if own else None
+            more = [(k, s, e) for k, s, e in own if not taken.meets(s, e) and valid(KINDS[k], t[s:e])]
             out.append((base[d], sorted(base[d] + more)))
         return out
 

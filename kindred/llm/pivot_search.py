@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, written
@@ -61,11 +61,12 @@ def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def integers(rows: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component; rows without an id or with a null, empty, or non-finite vector go."""
+def integers(rows: DataFrame, is_query: Column) -> DataFrame:
+    """row (a number of its own), vec_id, v: floor(256 * x) of each component, asked; rows without an id or with a null or non-finite vector go."""
     x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    own = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return own.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -83,9 +84,9 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 class PivotSearch:
     """``pivots`` of a bounded ``sample`` (the first vectors by hash) key all vectors; see the module's text.
 
-    Vectors of different lengths count as filled up with zeros. Rows that share the query's vec_id are not
-    its candidates; equal vectors under other ids all are. Of queries that share a vec_id one is asked, that of the
-    least vector. Rows whose id or vector is null, or whose vector is empty or holds null or non-finite components, take
+    Vectors of different lengths count as filled up with zeros, an empty one is all zeros. Rows are told apart by a
+    number that they are given once: every query row is asked, also where vec_ids repeat, and every row but the query's own is
+    its candidate. Rows whose id or vector is null, or whose vector holds null or non-finite components, take
     no part; equal scores go to the smaller vec_id; a candidate row that comes twice counts twice. A table
     without usable vectors gives no rows; other columns are ignored. After ``search``, ``share`` is the
     part of all pairs of query and vector that was compared.
@@ -95,11 +96,12 @@ class PivotSearch:
         self.k, self.n_pivots, self.rings, self.chunk, self.batch, self.sample, self.first = k, pivots, rings, chunk, batch, sample, first
         self.share = 0.0
 
-    def build(self, vectors: DataFrame) -> tuple[DataFrame, Directory, int] | None:
-        """The index (vec_id, v, annulus, chunk), its directory and the vectors' length."""
+    def build(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame, Directory, int] | None:
+        """The keyed vectors as written, the index (row, vec_id, v, annulus, chunk), its directory and the vectors' length."""
         width = vectors.agg(F.max(F.size("v"))).first()[0]
         if width is None:
             return None
+        width = max(1, width)
         sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample).select("v").toArrow()["v"]
         pivots = farthest_first(_matrix(sample, width).astype(float), self.n_pivots)
         within = distances(_matrix(sample, width).astype(float), pivots).min(1)
@@ -109,12 +111,12 @@ class PivotSearch:
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                d = distances(_matrix(batch.column(1), width).astype(float), pivots)
+                d = distances(_matrix(batch.column(2), width).astype(float), pivots)
                 nearest = d.argmin(1)
                 ring = np.searchsorted(cuts, d[np.arange(len(d)), nearest], "right")
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((nearest * rings + ring).astype(np.int32))], names=["vec_id", "v", "annulus"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((nearest * rings + ring).astype(np.int32))], names=["row", "vec_id", "v", "asked", "annulus"])
 
-        keyed = written(vectors.mapInArrow(key, "vec_id long, v array<long>, annulus int"), "keyed")
+        keyed = written(vectors.mapInArrow(key, "row long, vec_id long, v array<long>, asked boolean, annulus int"), "keyed")
 
         def extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -138,11 +140,12 @@ class PivotSearch:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = np.searchsorted(annuli, np.asarray(batch.column(2)))
+                at = np.searchsorted(annuli, np.asarray(batch.column(3)))
                 chunk = mix(np.asarray(batch.column(0)).astype(np.uint64)) % directory.chunks[at].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["vec_id", "v", "annulus", "chunk"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["row", "vec_id", "v", "annulus", "chunk"])
 
-        return keyed.mapInArrow(place, "vec_id long, v array<long>, annulus int, chunk int"), directory, width
+        index = keyed.select("row", "vec_id", "v", "annulus").mapInArrow(place, "row long, vec_id long, v array<long>, annulus int, chunk int")
+        return keyed, index, directory, width
 
     def _asked(self, queries: DataFrame, directory: Directory, width: int, lo: int, hi: int | None) -> DataFrame:
         """A row for each query and chunk it has to meet in the round of the annuli from ``lo`` to ``hi`` vectors, in order of their bounds."""
@@ -165,23 +168,23 @@ class PivotSearch:
                         r = pa.array(row[at : at + 4096])
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(annulus[at : at + 4096].astype(np.int32)), pa.array(chunk[at : at + 4096].astype(np.int32)), *(part.column(i).take(r) for i in (2, 0, 3))],
-                            names=["annulus", "chunk", "batch", "query_id", "least"],
+                            names=["annulus", "chunk", "batch", "query", "least"],
                         )
 
-        return queries.select("query_id", "v", "batch", "least").mapInArrow(run, "annulus int, chunk int, batch int, query_id long, least double")
+        return queries.select("query", "v", "batch", "least").mapInArrow(run, "annulus int, chunk int, batch int, query long, least double")
 
     def _met(self, asked: DataFrame, index: DataFrame, width: int) -> DataFrame:
-        """query_id, vec_id, score: of each group the best k of each query, at least its ``least``."""
+        """query, vec_id, score: of each group the best k of each query, at least its ``least``."""
         k = self.k
 
         def judge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             q, v = _matrix(left["v"], width), _matrix(right["v"], width)
-            query, vec, least = (np.asarray(c) for c in (left["query_id"], right["vec_id"], left["least"]))
+            query, own, vec, least = (np.asarray(c) for c in (left["query"], right["row"], right["vec_id"], left["least"]))
             rows = []
             if len(q) and len(v):
                 exact = float(np.abs(q).max()) * float(np.abs(v).max()) * width < 2**53
                 score = (q.astype(float) @ v.astype(float).T).astype(np.int64) if exact else q @ v.T
-                score_or_none = np.where(query[:, None] == vec[None], np.iinfo(np.int64).min, score)
+                score_or_none = np.where(query[:, None] == own[None], np.iinfo(np.int64).min, score)
                 order = np.argsort(vec, kind="stable")
                 for i in range(len(query)):
                     s = score_or_none[i, order]
@@ -189,40 +192,43 @@ class PivotSearch:
                     best = ok[np.argsort(-s[ok], kind="stable")[:k]]
                     rows.append((np.full(len(best), query[i]), vec[order][best], s[best]))
             columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 3
-            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+            return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query", "vec_id", "score"), columns, strict=True)})
 
         vectors = index.join(asked.select(*[F.col(c).alias(c) for c in ("annulus", "chunk", "batch")]).distinct(), ["annulus", "chunk"])
         keys = ["annulus", "chunk", "batch"]
-        return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(judge, "query_id long, vec_id long, score long")
+        return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(judge, "query long, vec_id long, score long")
 
-    def search(self, rows: DataFrame, is_query) -> DataFrame:
+    def search(self, rows: DataFrame, is_query: Column) -> DataFrame:
         """query_id, rank, vec_id, score for the rows of (vec_id, embedding) where ``is_query`` holds, against all rows."""
         spark = rows.sparkSession
         empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-        vectors = integers(rows)
-        built = self.build(vectors)
+        built = self.build(integers(rows, is_query))
         if not built:
             return empty
-        index, directory, width = built
-        queries = written(vectors.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")), "queries")
-        n, total = queries.count(), int(directory.count.sum())
-        queries = queries.withColumn("batch", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(max(1, -(-n // self.batch)))).cast("int"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        keyed, index, directory, width = built
+        own = written(keyed.where("asked").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "v"), "queries")
+        n, total = own.count(), int(directory.count.sum())
+        queries = own.withColumn("batch", F.pmod(F.xxhash64("query", F.lit(1)), F.lit(max(1, -(-n // self.batch)))).cast("int"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
         found, met = None, 0
         edges = [0, self.first, max(self.first, total // 8), None]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             known = queries.withColumn("least", F.lit(float("-inf")))
             if found is not None:
-                kth = found.where(F.col("rank") == self.k).select(F.col("query_id").alias("_q"), F.col("score").cast("double").alias("least"))
-                known = queries.join(kth, F.col("query_id") == F.col("_q"), "left").select("query_id", "v", "batch", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+                kth = found.where(F.col("rank") == self.k).select(F.col("query").alias("_q"), F.col("score").cast("double").alias("least"))
+                known = queries.join(kth, F.col("query") == F.col("_q"), "left").select("query", "v", "batch", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
             asked = written(self._asked(known, directory, width, lo, hi), "asked")
             counts = asked.groupBy("annulus").agg(F.count(F.lit(1)).alias("n")).collect()
             met += sum(int(directory.count[r["annulus"]] * r["n"] // directory.chunks[r["annulus"]]) for r in counts)
             if counts:
-                new = self._met(asked.join(queries.select(F.col("query_id").alias("_q"), "v"), F.col("query_id") == F.col("_q")).drop("_q"), index, width)
+                new = self._met(asked.join(queries.select(F.col("query").alias("_q"), "v"), F.col("query") == F.col("_q")).drop("_q"), index, width)
                 every = new if found is None else new.unionByName(found.drop("rank"))
                 best = written(every.withColumn("rank", rank.cast("int")).where(F.col("rank") <= self.k), "best")
                 forget(asked, *([] if found is None else [found]))
                 found = best
         self.share = met / max(1, n * total)
-        return empty if found is None else found.select("query_id", "rank", "vec_id", "score")
+        if found is None:
+            return empty
+        out = written(found.join(queries.select(F.col("query").alias("_q"), "query_id"), F.col("query") == F.col("_q")).select("query_id", "rank", "vec_id", "score"), "found")
+        forget(found, own, keyed)
+        return out

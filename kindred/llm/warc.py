@@ -183,14 +183,15 @@ def write_archives(planned_pages: DataFrame, folder: str) -> DataFrame:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         system, top = fs.FileSystem.from_uri(folder)
         system.create_dir(top, recursive=True)
-        writer, count, number, first = None, 0, 0, []
+        writer, count, number, first, held = None, 0, 0, [], 0
 
         def close(writer: Writer, count: int, number: int) -> pa.RecordBatch:
-            name = f"part-{part:06d}-{number:04d}.warc.zst"
-            # written under a hidden name of this attempt, then moved: readers never see half a file
-            with system.open_output_stream(f"{top}/.{attempt}-{name}", compression=None) as out:
+            # each attempt has its own names, so a late or speculative one cannot replace what the list names
+            name = f"part-{part:06d}-{attempt}-{number:04d}.warc.zst"
+            # written under a hidden name, then moved: readers never see half a file
+            with system.open_output_stream(f"{top}/.{name}", compression=None) as out:
                 out.write(writer.done())
-            system.move(f"{top}/.{attempt}-{name}", f"{top}/{name}")
+            system.move(f"{top}/.{name}", f"{top}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64()), pa.array([writer.size], pa.int64())], names=["archive", "n_records", "n_bytes"])
 
         for batch in batches:
@@ -199,12 +200,13 @@ def write_archives(planned_pages: DataFrame, folder: str) -> DataFrame:
                     record = record_bytes(page_records(page), b"" if page["record_type"] == "revisit" else page["payload"])
                     if writer is None:
                         first.append(record)
-                        if len(first) < SAMPLE and sum(map(len, first[-8:])) < ARCHIVE:
+                        held += len(record)
+                        if len(first) < SAMPLE and held < ARCHIVE:
                             continue
                         writer, count = Writer(first), len(first)
                         for r in first:
                             writer.add(r)
-                        first = []
+                        first, held = [], 0
                     else:
                         writer.add(record)
                         count += 1

@@ -39,6 +39,18 @@ PAGES = {
     "script and style": (f"<body><article><script>if (a < b) document.write('<p>no</p>')</script><style>p {{}}</style>{P}</article></body>", TEXT),
 }
 
+PAGES |= {
+    "apostrophe in an unquoted value": (f"<body>{P}<p><a href=/o'brien>x</a> {A}</p>{P}</body>", f"{TEXT}\n\nx {A}\n\n{TEXT}"),
+    "quotes in and around values": (f"""<body><article data-a = "1 > 0" data-b='"' title=5"6>{P}<p class=a"b data-c='>'>{A}</p></article></body>""", f"{TEXT}\n\n{A}"),
+}
+
+
+def test_commas_of_other_scripts_count():
+    """Two like blocks of one length: that with commas of its own script wins."""
+    for comma in ",\uff0c\u3001\u060c":
+        rows, plain = f"<div><p>{('字' * 9 + comma) * 12}</p></div>", f"<div><p>{'字' * 120}</p></div>"
+        assert main_text(f"<body><section>{plain}</section><section>{rows}</section></body>").startswith("字" * 9 + comma)
+
 
 @pytest.mark.parametrize("name", PAGES)
 def test_hand_written_pages(name):

@@ -116,12 +116,17 @@ def test_warc_round_trip_and_broken_archives(spark, tmp_path):
     out = {r.page_id: r for r in warc.read_archives(spark, folder).collect()}
     assert (out[1].record_type, out[1].refers_to, out[1].payload_bytes) == ("revisit", 7, 1200)
     assert bytes(out[7].payload).decode() == big and out[3].payload_bytes == 0 and out[5].record_type == "response" and out[None].record_type == "response"
-    (tmp_path / "warc" / "part-999999-0000.warc.zst").write_bytes(b"left over by a failed attempt")
+    (tmp_path / "warc" / "part-999999-9-0000.warc.zst").write_bytes(b"left over by a failed attempt")
     long = spark.createDataFrame([(1, "http://" + "a" * 70_000, big), (1, "http://b", big), (2, "c", big)], "page_id long, url string, html string")
     archives = warc.written(warc.write_archives(warc.planned(long), folder), "archives")
     rows = warc.read_written(archives, folder).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to, len(r.url)) for r in rows) == [(1, "revisit", 2, 8), (1, "revisit", 2, 70_007), (2, "response", None, 1)]
     assert warc.read_written(archives.limit(0), folder).collect() == []
+    again = warc.written(warc.write_archives(warc.planned(long), folder), "archives")
+    names = [{r.archive for r in a.collect()} for a in (archives, again)]
+    assert not names[0] & names[1]  # a later attempt replaces nothing
+    assert len(warc.read_written(archives, folder).collect()) == 3
+    assert warc.read_written(warc.written(warc.write_archives(warc.planned(long.limit(0)), folder), "archives"), folder).collect() == []
     record = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Date", "2024-01-01T00:00:00Z")], b"body")
     assert warc.parsed(record)[1] == b"body"
     for broken in (record[:-1], record.replace(b"Content-Length: 4", b"Content-Length: 5"), record.replace(b"WARC-Date", b"WARC Date"), b"x"):
@@ -160,13 +165,31 @@ def test_search_stops_where_bounds_fall_and_takes_repeated_ids(spark):
     out = [(r.query_id, r.rank, r.vec_id, r.score) for r in search.search(vectors, F.col("vec_id") % 50 == 0).collect()]
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
     want = []
-    for q, v in ((i, v) for i, v in whole[:2000] + whole[-2:-1] if i % 50 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(whole) if m != n)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     assert sorted(out) == sorted(want)
     assert search.share < 0.2
 
 
+def test_search_asks_every_query_row_and_takes_empty_vectors(spark):
+    """Rows that share a vec_id are queries and candidates of their own; an empty vector is all zeros."""
+    rows = [(50, [1.0, 2.0]), (50, [2.0, -1.0]), (50, [1.0, 2.0]), (100, []), (1, []), (2, [0.5]), (None, [9.0, 9.0]), (3, None)]
+    vectors = spark.createDataFrame([(*r, 1, True) for r in rows], "vec_id long, embedding array<double>, row int, asked boolean")
+    out = [(r.query_id, r.rank, r.vec_id, r.score) for r in PivotSearch(k=3).search(vectors, F.col("vec_id") % 50 == 0).collect()]
+    whole = [(i, [int(256 * x) for x in v] + [0] * (2 - len(v))) for i, v in rows if i is not None and v is not None]
+    want = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(whole) if m != n)[:3]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert sorted(out) == sorted(want)
+    only = spark.createDataFrame([(50, []), (51, [])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in PivotSearch().search(only, F.col("vec_id") == 50).collect()] == [(50, 1, 51, 0)]
+    assert PivotSearch().search(only.limit(0), F.lit(True)).collect() == []
+
+
 ARTICLE = "<p>First, a paragraph of the article, which goes on.</p><p>Then, as it must, a second one, with commas.</p>"
 ITS_TEXT = "First, a paragraph of the article, which goes on.\n\nThen, as it must, a second one, with commas."
 

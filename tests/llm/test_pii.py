@@ -1,5 +1,6 @@
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -167,3 +168,21 @@ def test_reconciled_spans_have_the_largest_weight(rows):
 
 def test_an_empty_table(spark):
     assert pii.PersonalData().find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_many_spans_take_no_square_time():
+    """100,000 addresses, a cue after each: windows and joined spans by bisection."""
+    text = " ".join(f"u{i}@mail.org 12-34" for i in range(100_000))
+    base = pii.base_spans(text)
+    began = time.time()
+    assert len(base) >= 100_000 and len(pii._windows(text, base)) > 1000
+    found = [(i % 3, 10 * i, 10 * i + 12, 1.0) for i in range(100_000)]
+    assert len(pii.reconciled(found)) >= 50_000
+    assert time.time() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.just(0), st.integers(0, 40), st.integers(1, 9)), max_size=8), st.integers(0, 45), st.integers(1, 9))
+def test_taken_stretches(spans, a, size):
+    spans = [(k, s, s + n) for k, s, n in spans]
+    assert pii.Taken(spans).meets(a, a + size) == any(s < a + size and a < e for _, s, e in spans)
