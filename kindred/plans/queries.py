@@ -417,7 +417,7 @@ def chroma_frames(spark, sf):
 @query()
 def merged_groups(spark, sf):
     same, pairs = _near_once(spark, sf)
-    return clustering.merged_groups(clustering.components(pairs), pairs, pairs, same)
+    return clustering.merged_groups(clustering.components(pairs), pairs, same=same)
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, unnest([0, 1]) AS index, p_retailprice FROM part)
