@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import names
-from kindred.operators import reasons
+from kindred.operators import ordering, reasons
 
 #: Flags of rows.
 EXCLUDED, ERRORS, TOO_DARK, REPARSE = 1, 2 | 4 | 128, 8, 512
@@ -149,6 +149,31 @@ def sort_orders(mode: str, descending: bool) -> tuple[list[Column], list[Column]
     return [turn(group), F.asc("grp")], [*([turn(member)] if member else []), F.asc("place")]
 
 
+def listed(rows: DataFrame, mode: str, descending: bool) -> DataFrame:
+    """The members of all sets with ``listed``, their place in the whole listing of a mode: set after set, member after member.
+
+    rows: grp, place and what ``headers`` reads. A member meets its set's figures by its group; sets and members are then one
+    order over all rows, so no set is gathered in a task.
+    """
+    figures = headers(rows)
+    own = [F.col(c).alias(f"_set_{c}") for c in figures.columns if c != "grp"]
+    group, member = SORT_MODES[mode]
+    turn = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    order = [turn(f"_set_{group}"), F.asc("grp"), *([turn(member)] if member else []), F.asc("place")]
+    return ordering.placed(rows.join(figures.select("grp", *own), "grp"), order, "listed").select(*rows.columns, "listed")
+
+
+#: What the web page sorts the members of a set by, as chosen for each set: the largest first, names from A on.
+WEB_SORTS = {"similarity": "similarity", "size": "size", "duration": "seconds", "bitrate": "kilobits", "resolution": "frame", "date": "created"}
+
+
+def web_listed(rows: DataFrame) -> DataFrame:
+    """The members (grp, place, sort and what is sorted by) with ``listed``: sets in order, each by its own ``sort``, else by similarity."""
+    value = F.coalesce(*[F.when(F.col("sort") == name, F.col(c).cast("double")) for name, c in WEB_SORTS.items()], F.col("similarity").cast("double"))
+    name = F.when(F.col("sort") == "name", F.element_at(F.split("path", "[/\\\\]"), -1))
+    return ordering.placed(rows, [F.asc("grp"), F.asc_nulls_first(name), F.desc_nulls_last(F.when(name.isNull(), value)), F.asc("place")], "listed")
+
+
 def partition_matches(rows: DataFrame, test: Column) -> DataFrame:
     """The rows that a condition matches, with ``whole``: does it match all of their set, so that nothing would be left."""
     w = Window.partitionBy("grp")

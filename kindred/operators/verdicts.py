@@ -139,28 +139,42 @@ def with_flips(a: dict[str, Column], b: dict[str, Column], image: Column, positi
     return Verdict(F.least(plain.difference, mirrored.difference), pick(plain.by_gray, mirrored.by_gray), pick(plain.by_hash, mirrored.by_hash), ~flipped & plain.by_ai), flipped
 
 
-def pairs(items: DataFrame, positions: int, side: int, s: Settings) -> DataFrame:
-    """(a_key, b_key, difference, by_gray, by_hash, by_ai) of all items that match.
+def pairs(items: DataFrame, positions: int, side: int, s: Settings, flips: bool = False) -> DataFrame:
+    """(a_key, b_key, difference, by_gray, by_hash, by_ai) of all items that match; with ``flips`` also ``flipped``.
 
-    items: key, image, frames, hashes and vectors (unit vectors, null where there is none) at ``positions``. Where means
-    over the positions pass, those of one position at least do, so candidates come from lossless joins of single positions.
+    items: key, image, frames, hashes and vectors (unit vectors, null where there is none) at ``positions``, and with flips and hashes
+    mirrored_hashes. Where means over the positions pass, those of one position at least do, so candidates come from
+    lossless joins of single positions, also where dark or bright places are ignored. With flips, each item stands in these
+    joins a second time, mirrored, and meets the plain ones of larger keys; the smaller difference of the two verdicts counts.
     """
     # read several times below, so its lineage is cut
-    items = clustering.written(items.where(usable(F.col("frames"), side * side, positions)).select("key", "image", "frames", "hashes", "vectors"), "items")
-    at = lambda c: items.select(F.col("key"), F.posexplode(c).alias("place", "value")).select(F.struct("key", "place").alias("key"), "value")
-    found = [similarity.gray_pairs(at("frames"), "key", "value", side, s.most_difference)]
+    mirrored = [F.col("mirrored_hashes")] if flips and "mirrored_hashes" in items.columns else [F.lit(None).cast("array<bigint>").alias("mirrored_hashes")]
+    items = clustering.written(items.where(usable(F.col("frames"), side * side, positions)).select("key", "image", "frames", "hashes", "vectors", *mirrored), "items")
+
+    def at(column: str, turned: Column | None = None) -> DataFrame:
+        one = lambda c, m: items.select(F.col("key"), F.posexplode(c).alias("place", "value")).select(F.struct("key", "place", F.lit(m).alias("mirrored")).alias("key"), "value")
+        plain = one(F.col(column), False)
+        return plain if turned is None or not flips else plain.unionByName(one(turned, True))
+
+    frames = at("frames", F.transform("frames", lambda f: signal.flipped(f, side)))
+    found = [similarity.gray_pairs(frames, "key", "value", side, s.most_difference, s.ignore_dark, s.ignore_bright)]
     if s.use_hashes or s.combine:
-        found.append(similarity.hamming_pairs(at("hashes"), "key", "value", s.most_bits))
+        found.append(similarity.hamming_pairs(at("hashes", F.col("mirrored_hashes")), "key", "value", s.most_bits))
     if s.use_ai:
         found.append(similarity.cosine_pairs(at("vectors"), "key", "value", float(np.float32(s.ai_percent) / np.float32(100)) - 1e-6))
-    met = [d.where("a_key.place = b_key.place").select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key")) for d in found]
+    # keys are structs that begin with the item's key, so a_key is the smaller item's; of two sides that one may be mirrored
+    met = [d.where("a_key.place = b_key.place and a_key.key <> b_key.key and not b_key.mirrored").select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key")) for d in found]
     met = reduce(DataFrame.unionByName, met).distinct()
     own = items.withColumn("vectors", F.transform("vectors", signal.quantised))
     for x in "ab":
         met = met.join(own.select([F.col(c).alias(f"{x}_{c}") for c in own.columns]), f"{x}_key")
-    sides = [{c: F.col(f"{x}_{c}") for c in ("frames", "hashes", "vectors")} for x in "ab"]
-    v = union(*sides, F.col("a_image"), positions, s)
-    return met.where(F.col("a_image") == F.col("b_image")).select("a_key", "b_key", *v.columns()).where("difference is not null")
+    sides = [{c: F.col(f"{x}_{c}") for c in ("frames", "hashes", "vectors", "mirrored_hashes")} for x in "ab"]
+    if flips:
+        v, flipped = with_flips(*sides, F.col("a_image"), positions, side, s)
+        more = [F.coalesce(flipped, F.lit(False)).alias("flipped")]
+    else:
+        v, more = union(*sides, F.col("a_image"), positions, s), []
+    return met.where(F.col("a_image") == F.col("b_image")).select("a_key", "b_key", *v.columns(), *more).where("difference is not null")
 
 
 def hard_link(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.operators import results
+from kindred.operators import ordering, results
 from kindred.plans.registry import query
 from kindred.sources.tables import table
 
@@ -31,11 +31,18 @@ def flag_counts(spark, sf):
     return results.flag_counts(_files(spark, sf), {"excluded": 1, "dark": 8})
 
 
-@query(f"""WITH {_FILES}, e AS (SELECT * FROM f WHERE NOT image AND contains(lower(path), '/r1/')) SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN flags & 8 > 0 THEN 0 ELSE 1 END, size DESC, lower(path), path) AS INTEGER) AS place FROM e QUALIFY place <= 50""")
+@query(f"""WITH {_FILES}, e AS (SELECT * FROM f WHERE NOT image AND contains(lower(path), '/r1/')) SELECT id, row_number() OVER (ORDER BY CASE WHEN flags & 8 > 0 THEN 0 ELSE 1 END, size DESC, lower(path), path, id) AS place FROM e""")
 def editor_listing(spark, sf):
-    """The first page of the editor's rows."""
-    rows = results.editor_rows(_files(spark, sf), kind="videos", search="/R1/").orderBy(*results.editor_order("size", 8)).limit(50)
-    return rows.agg(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("place", "id")).select("id", (F.col("place") + 1).cast("int").alias("place"))
+    """All of the editor's rows, each with its place in the listing."""
+    rows = results.editor_rows(_files(spark, sf), kind="videos", search="/R1/")
+    return ordering.placed(rows, [*results.editor_order("size", 8), F.asc("id")]).select("id", "place")
+
+
+@query(f"""WITH {_FILES} SELECT id, row_number() OVER (ORDER BY path, id) - 1 AS place FROM f""")
+def path_places(spark, sf):
+    """The list index of each file: ordinal order of paths, from 0."""
+    rows = ordering.placed(_files(spark, sf).select("id", "path"), [F.asc("path"), F.asc("id")])
+    return rows.select("id", (F.col("place") - 1).alias("place"))
 
 
 _SETS = """m AS (SELECT l_orderkey AS grp, l_partkey * 10 + l_linenumber AS place, concat('/p', l_suppkey, '/f', l_partkey) AS path, l_partkey % 2 = 0 AS image, l_discount * 1000 AS similarity, l_tax > 0.07 AS checked, l_returnflag <> 'R' AS live,
@@ -59,11 +66,34 @@ def filtered_results(spark, sf):
 
 
 @query(f"""WITH {_SETS}, h AS (SELECT grp, count(*) AS files, sum(size) - max(size) AS wasted, min(similarity) AS least_alike, max(similarity) AS most_alike, count(*) FILTER (live) AS live FROM m GROUP BY grp)
-SELECT grp, files, CAST(wasted AS BIGINT) AS wasted, round(least_alike, 4) AS least_alike, round(most_alike, 4) AS most_alike, live FROM h ORDER BY h.wasted DESC, grp LIMIT 200""")
+SELECT grp, files, CAST(wasted AS BIGINT) AS wasted, round(least_alike, 4) AS least_alike, round(most_alike, 4) AS most_alike, live, row_number() OVER (ORDER BY h.wasted DESC, grp) AS place FROM h""")
 def sorted_sets(spark, sf):
     groups, _ = results.sort_orders("wasted space", True)
-    h = results.headers(_sets(spark, sf)).orderBy(*groups).limit(200)  # a page of the sorted listing
-    return h.select("grp", "files", "wasted", F.round("least_alike", 4).alias("least_alike"), F.round("most_alike", 4).alias("most_alike"), "live")
+    h = ordering.placed(results.headers(_sets(spark, sf)), groups)
+    return h.select("grp", "files", "wasted", F.round("least_alike", 4).alias("least_alike"), F.round("most_alike", 4).alias("most_alike"), "live", "place")
+
+
+@query(f"""WITH {_SETS}, h AS (SELECT grp, max(similarity) AS most_alike FROM m GROUP BY grp) SELECT grp, m.place AS member, row_number() OVER (ORDER BY h.most_alike DESC, grp, m.similarity DESC, m.place) AS place FROM m JOIN h USING (grp)""")
+def listed_members(spark, sf):
+    """All members of all sets in the order of the listing: sets by their likeness, members by their own."""
+    return results.listed(_sets(spark, sf), "similarity", True).select("grp", F.col("place").alias("member"), F.col("listed").alias("place"))
+
+
+@query(f"""WITH {_SETS}, h AS (SELECT grp, max(created) AS newest, min(lower(path)) AS first_path, count(*) AS files FROM m GROUP BY grp), o AS (SELECT grp, row_number() OVER (ORDER BY newest, grp) AS by_date, row_number() OVER (ORDER BY first_path DESC, grp) AS by_folder, row_number() OVER (ORDER BY files DESC, grp) AS by_count FROM h) SELECT * FROM o""")
+def sets_in_three_orders(spark, sf):
+    h = results.headers(_sets(spark, sf)).select("grp", "newest", "first_path", "files")
+    for name, mode, down in (("by_date", "date created", False), ("by_folder", "folder path", True), ("by_count", "file count", True)):
+        h = ordering.placed(h, results.sort_orders(mode, down)[0], name)
+    return h.select("grp", "by_date", "by_folder", "by_count")
+
+
+@query(f"""WITH {_SETS}, s AS (SELECT *, CASE grp % 5 WHEN 0 THEN 'size' WHEN 1 THEN 'duration' WHEN 2 THEN 'name' WHEN 3 THEN 'date' ELSE 'other' END AS sort, split_part(path, '/', -1) AS name FROM m)
+SELECT grp, place AS member, row_number() OVER (ORDER BY grp, CASE WHEN sort = 'name' THEN name END NULLS FIRST, CASE sort WHEN 'name' THEN NULL WHEN 'size' THEN CAST(size AS DOUBLE) WHEN 'duration' THEN CAST(seconds AS DOUBLE) WHEN 'date' THEN CAST(created - DATE '1970-01-01' AS DOUBLE) ELSE CAST(similarity AS DOUBLE) END DESC NULLS LAST, place) AS place FROM s""")
+def web_members(spark, sf):
+    """Members as the web page lists them, each set by the order chosen for it."""
+    chosen = F.element_at(F.array(*[F.lit(x) for x in ("size", "duration", "name", "date", "other")]), (F.col("grp") % 5 + 1).cast("int"))
+    rows = _sets(spark, sf).withColumn("sort", chosen).withColumn("created", F.unix_date("created")).withColumn("kilobits", F.col("size"))
+    return results.web_listed(rows).select("grp", F.col("place").alias("member"), F.col("listed").alias("place"))
 
 
 @query(f"""WITH {_SETS}, h AS (SELECT *, size > 20 AS hit FROM m) SELECT grp, place, whole FROM (SELECT *, bool_and(hit) OVER (PARTITION BY grp) AS whole FROM h) WHERE hit""")
@@ -109,10 +139,10 @@ def output_labels(spark, sf):
 
 
 @query("""SELECT s_suppkey AS drive, count(DISTINCT l.k) AS files, count(DISTINCT o.o_orderkey) AS sets, coalesce(max(o.r), 0) AS reclaim FROM supplier LEFT JOIN (SELECT l_suppkey, row_number() OVER () AS k FROM lineitem WHERE l_suppkey % 3 > 0) l ON l_suppkey = s_suppkey
-LEFT JOIN (SELECT o_orderkey, o_custkey % 50 AS d, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey % 50) AS BIGINT) AS r FROM orders WHERE o_orderkey % 100 = 0) o ON o.d = s_suppkey GROUP BY 1""")
+LEFT JOIN (SELECT o_orderkey, o_custkey % 50 AS d, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey % 50) AS BIGINT) AS r FROM orders) o ON o.d = s_suppkey GROUP BY 1""")
 def drive_cards(spark, sf):
     files = table(spark, sf, "lineitem").where("l_suppkey % 3 > 0").select(F.col("l_suppkey").alias("drive"))
-    sets = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select((F.col("o_custkey") % 50).alias("drive"), F.col("o_orderkey").alias("reclaim"))
+    sets = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("drive"), F.col("o_orderkey").alias("reclaim"))
     return results.drive_cards(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("drive")), files, sets)
 
 

@@ -53,6 +53,39 @@ def union_pairs(spark, sf):
     return verdicts.pairs(_items(spark, sf), 4, 8, S).withColumn("difference", F.round("difference", 6))
 
 
+_WIDE_ITEMS = _ITEMS.replace("CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)", "CAST(greatest(0, least(255, floor((4 * CAST(x AS DOUBLE) + 1) * 127.5))) AS BIGINT)", 1)
+_KEPT = "list_transform(range(1, 5), lambda i: list_filter(list_zip(a.frames[i], b.frames[i]), lambda z: z[1] > 32 AND z[2] > 32 AND z[1] < 240 AND z[2] < 240))"
+
+
+def _wide_items(spark, sf):
+    """Items whose frames reach from black to white."""
+    wide = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") * 4 + 1) * 127.5))).cast("int")
+    v = table(spark, sf, "embeddings").where("embedding is not null")
+    rows = v.select(F.floor(F.col("vec_id") / 4).alias("key"), F.struct("vec_id", F.transform("embedding", wide).alias("frame")).alias("p"))
+    rows = rows.groupBy("key").agg(F.array_sort(F.collect_list("p")).alias("p")).where("size(p) = 4")
+    none = F.lit(None).cast("array<bigint>")
+    return rows.select("key", (F.col("key") % 7 == 0).alias("image"), F.transform("p", lambda x: x["frame"]).alias("frames"), none.alias("hashes"), F.lit(None).cast("array<array<double>>").alias("vectors"))
+
+
+@query(f"""WITH {_WIDE_ITEMS}, j AS (SELECT a.key AS a_key, b.key AS b_key, a.image AS image, {_KEPT} AS k FROM items a JOIN items b ON a.key < b.key AND a.image = b.image),
+x AS (SELECT *, list_transform(k, lambda p: CASE WHEN len(p) > 0 THEN list_sum(list_transform(p, lambda z: abs(z[1] - z[2]))) / len(p) / 256.0 ELSE 9 END) AS d FROM j),
+y AS (SELECT a_key, b_key, CASE WHEN image THEN CASE WHEN d[1] <= CAST(0.18 AS FLOAT) THEN d[1] END WHEN list_sum(d) <= CAST(0.18 AS FLOAT) * 4 THEN list_sum(d) / 4 END AS difference FROM x)
+SELECT a_key, b_key, round(difference, 6) AS difference FROM y WHERE difference IS NOT NULL""")
+def pairs_ignoring_dark_and_bright(spark, sf):
+    s = verdicts.Settings(percent=82.0, use_ai=False, ignore_dark=True, ignore_bright=True)
+    return verdicts.pairs(_wide_items(spark, sf), 4, 8, s).select("a_key", "b_key", F.round("difference", 6).alias("difference"))
+
+
+@query(f"""WITH {_ITEMS}, j AS (SELECT a.key AS a_key, b.key AS b_key, a.image AS a_image, {_GRAY.format(a="a", b="b")} AS g,
+list_transform(range(1, 5), lambda i: list_sum(list_transform(range(0, 64), lambda k: abs(a.frames[i][(k // 8) * 8 + (7 - k % 8) + 1] - b.frames[i][k + 1]))) / 64 / 256.0) AS m FROM items a JOIN items b ON a.key < b.key AND a.image = b.image),
+x AS (SELECT a_key, b_key, CASE WHEN a_image THEN CASE WHEN g[1] <= CAST(0.06 AS FLOAT) THEN g[1] END WHEN list_sum(g) <= CAST(0.06 AS FLOAT) * 4 THEN list_sum(g) / 4 END AS plain,
+CASE WHEN a_image THEN CASE WHEN m[1] <= CAST(0.06 AS FLOAT) THEN m[1] END WHEN list_sum(m) <= CAST(0.06 AS FLOAT) * 4 THEN list_sum(m) / 4 END AS mirrored FROM j)
+SELECT a_key, b_key, round(least(plain, mirrored), 6) AS difference, mirrored IS NOT NULL AND (plain IS NULL OR mirrored < plain) AS flipped FROM x WHERE coalesce(plain, mirrored) IS NOT NULL""")
+def pairs_with_flips(spark, sf):
+    s = verdicts.Settings(percent=94.0, use_ai=False)
+    return verdicts.pairs(_items(spark, sf), 4, 8, s, flips=True).select("a_key", "b_key", F.round("difference", 6).alias("difference"), "flipped")
+
+
 def _next(spark, sf):
     """Each item beside the next one."""
     items = _items(spark, sf).withColumn("vectors", F.transform("vectors", signal.quantised))
