@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.functions import names
+from kindred.functions import aligned, names
 from kindred.operators.clustering import written
 
 #: Columns of a member: set, path, image, size, width, height, seconds, kilobits, rate, audio (null: none), modified, taken (null: no capture date), synced.
@@ -150,6 +150,20 @@ def dry_run(rows: DataFrame, checked: Column) -> DataFrame:
 
 #: Relations of other versions, and how alike in percent what stays with a kept file is.
 OTHER_VERSIONS, ALIKE = ["burst", "language", "soundtrack"], 75.0
+def lined_up(related: DataFrame, pictures: DataFrame) -> DataFrame:
+    """related (i_path, k_path, i_image, k_image, relation, percent) with lines_up: do the kept picture and the other line up.
+
+    Only photos that are alike enough to stay but no plain copies are asked; all others, and those whose pixels are not there or too
+    even, have null. pictures: path, pixels (row by row), width, each path once; a pair fetches its pixels, nothing else moves.
+    """
+    asked = F.col("i_image") & F.col("k_image") & (F.col("percent") >= ALIKE) & ~F.col("relation").isin(*PLAIN, *OTHER_VERSIONS, "different")
+    keys = related.where(F.coalesce(asked, F.lit(False))).select(F.col("i_path").alias("_i"), F.col("k_path").alias("_k")).distinct()
+    for x in "ik":
+        keys = keys.join(pictures.select(F.col("path").alias(f"_{x}"), F.col("pixels").alias(f"_{x}_pixels"), F.col("width").alias(f"_{x}_width")), f"_{x}")
+    told = written(keys.select("_i", "_k", aligned.look(F.col("_k_pixels"), F.col("_k_width"), F.col("_i_pixels"), F.col("_i_width"))["lines_up"].alias("lines_up")), "looks")
+    return related.drop("lines_up").join(told, (F.col("i_path") == F.col("_i")) & (F.col("k_path") == F.col("_k")), "left").drop("_i", "_k")
+
+
 BESIDE = "i_grp i_path i_series i_shot i__shown k__shown relation percent lines_up".split()
 
 

@@ -16,12 +16,19 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def current(snapshot: DataFrame, changes: DataFrame, key: str, batch: str = "batch", op: str = "op") -> DataFrame:
-    """The snapshot after the changes (op upsert or delete): of each key the newest batch's row."""
+def current(snapshot: DataFrame, changes: DataFrame, key: str, batch: str = "batch", op: str = "op", sequence: str | None = None) -> DataFrame:
+    """The snapshot after the changes (op upsert or delete): of each key the last row, by batch and by ``sequence`` within it.
+
+    The changes of a key are combined before the shuffle, so a key with very many is no task's burden. Two changes of one key in
+    one batch need a sequence; without one, the row that sorts last among them counts, so the result is the same on every run.
+    """
     columns = snapshot.columns
-    every = snapshot.withColumns({batch: F.lit(-1).cast("long"), op: F.lit("upsert")}).unionByName(changes.select(*columns, F.col(batch).cast("long").alias(batch), op))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(batch)))
-    return every.withColumn("_n", rank).where((F.col("_n") == 1) & (F.col(op) == "upsert")).select(columns)
+    order = F.col(sequence).cast("long") if sequence else F.lit(0).cast("long")
+    every = snapshot.select(*columns, F.lit(-1).cast("long").alias("_batch"), F.lit(0).cast("long").alias("_sequence"), F.lit("upsert").alias("_op"))
+    every = every.unionByName(changes.select(*columns, F.col(batch).cast("long").alias("_batch"), order.alias("_sequence"), F.col(op).alias("_op")))
+    row = F.struct("_op", *columns)
+    last = every.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct("_batch", "_sequence", row) if not sequence else F.struct("_batch", "_sequence")).alias("_last"))
+    return last.where(F.col("_last._op") == "upsert").select(*[F.col("_last")[c].alias(c) for c in columns])
 
 
 def fold_due(base_bytes: int, delta_bytes: int, share: float = 0.2) -> bool:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kindred.sources.journaled import SEQUENCE, JournaledTable
+
 
 def keep_listing(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Writes each batch of changes (path, size, modified, op) once, under its batch id; a batch run again replaces itself."""
@@ -20,6 +22,18 @@ def keep_listing(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQ
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_table(changes: DataFrame, table: JournaledTable, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Appends each batch of a stream of changes to a journaled table, once: a batch that is run again after a crash is known by its id.
+
+    ``order`` is the column that tells which of a key's changes in one batch is the last.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        table.append(batch.withColumn(SEQUENCE, F.col(order).cast("long")) if order else batch, name=str(number))
+
+    return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_seen(observed: DataFrame) -> DataFrame:
     """(key, first_seen, present) for a stream of (key, at, present): set when a key appears, dropped when it goes.
 

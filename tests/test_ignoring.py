@@ -91,7 +91,7 @@ def test_ten_modes(spark, mode):
         "similarity": lambda m: max(x["similarity"] for x in m), "date created": lambda m: max(x["created"] for x in m), "duration": lambda m: max(x["seconds"] for x in m), "resolution": lambda m: max(x["frame"] for x in m),
         "folder path": lambda m: min(x["path"] for x in m), "checked": lambda m: any(x["checked"] for x in m),
     }[mode]
-    member = {"wasted space": "size", "total size": "size", "similarity": "similarity", "date created": "created", "duration": "seconds", "resolution": "frame", "folder path": "path"}.get(mode)
+    member = {"wasted space": "size", "total size": "size", "largest file": "size", "similarity": "similarity", "date created": "created", "duration": "seconds", "resolution": "frame", "folder path": "path"}.get(mode)
     for down in (False, True):
         order = sorted(sets)
         order.sort(key=lambda g: figure(sets[g]), reverse=down)
