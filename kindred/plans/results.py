@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kindred.operators import ordering, results
+from kindred.operators import ordering, results, rules
 from kindred.plans.registry import query
 from kindred.sources.tables import table
 
@@ -26,6 +26,25 @@ def exclusions(spark, sf):
     return _files(spark, sf).select("id", results.exclusion(scope).alias("reason"))
 
 
+_RULES = """r AS (SELECT p_partkey AS place, CASE p_partkey % 5 WHEN 0 THEN upper(split_part(p_name, ' ', 1)) || 'x' || p_size WHEN 1 THEN '/R1/' || split_part(p_name, ' ', 1) WHEN 2 THEN left(split_part(p_name, ' ', 2), 3) || '?*' || p_size % 10 WHEN 3 THEN '/r?/' || left(p_name, 4) || '*/s' || p_size % 9 ELSE 's' || p_size END AS entry FROM part)"""
+
+
+@query(f"""WITH {_FILES}, {_RULES}, d AS (SELECT DISTINCT folder FROM f),
+m AS (SELECT d.folder, r.place, CASE WHEN NOT contains(entry, '/') AND NOT regexp_matches(entry, '[*?]') THEN list_contains(string_split(lower(folder), '/'), lower(entry))
+WHEN NOT regexp_matches(entry, '[*?]') THEN starts_with(lower(folder) || '/', lower(entry) || '/')
+WHEN NOT contains(entry, '/') THEN len(list_filter(string_split(lower(folder), '/'), lambda s: regexp_full_match(s, replace(replace(lower(entry), '*', '.*'), '?', '.')))) > 0
+ELSE len(list_filter(range(1, len(string_split(folder, '/')) + 1), lambda n: regexp_full_match(array_to_string(string_split(lower(folder), '/')[1:n], '/'), replace(replace(lower(entry), '*', '.*'), '?', '.')))) > 0 END AS hit FROM d, r)
+SELECT f.id, (SELECT min(m.place) FROM m WHERE m.folder = f.folder AND hit) AS rule FROM f""")
+def first_rules(spark, sf):
+    """Which of the rules of a table, some literal, some patterns, is the first to cover each file's folder."""
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    n, size = F.col("p_partkey") % 5, F.col("p_size")
+    entry = F.when(n == 0, F.concat(F.upper(word(1)), F.lit("x"), size)).when(n == 1, F.concat(F.lit("/R1/"), word(1))).when(n == 2, F.concat(F.substring(word(2), 1, 3), F.lit("?*"), size % 10))
+    entry = entry.when(n == 3, F.concat(F.lit("/r?/"), F.substring("p_name", 1, 4), F.lit("*/s"), size % 9)).otherwise(F.concat(F.lit("s"), size))
+    found = rules.first_rule(_files(spark, sf).select("id", "folder"), "folder", table(spark, sf, "part").select(F.col("p_partkey").alias("place"), entry.alias("entry")))
+    return found.select("id", F.col("rule.place").alias("rule"))
+
+
 @query(f"""WITH {_FILES} SELECT CAST(count(*) FILTER (flags & 1 > 0) AS BIGINT) AS excluded, count(*) FILTER (flags & 8 > 0) AS dark, count(*) FILTER (flags & 134 > 0) AS errors FROM f""")
 def flag_counts(spark, sf):
     return results.flag_counts(_files(spark, sf), {"excluded": 1, "dark": 8})
