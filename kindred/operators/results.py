@@ -227,8 +227,9 @@ def clip_rows(assigned: DataFrame) -> DataFrame:
 
 def verified_sources(pairs: DataFrame, passes: Column) -> DataFrame:
     """Each clip's first source whose check passes: what assigning, checking and trying the next one comes to."""
-    rank = F.row_number().over(Window.partitionBy("clip").orderBy("source"))
-    return pairs.where(passes).withColumn("_n", rank).where("_n = 1").drop("_n")
+    row = F.struct(*[F.col(c) for c in pairs.columns])
+    first = pairs.where(passes).groupBy(F.col("clip").alias("_clip")).agg(F.min_by(row, "source").alias("row"))
+    return first.select("row.*")
 
 
 # ---- histories and sums ------------------------------------------------------------------------------------------------------
@@ -281,7 +282,6 @@ def drive_cards(drives: DataFrame, files: DataFrame, sets: DataFrame) -> DataFra
 
 
 def anonymous(rows: DataFrame) -> DataFrame:
-    """A dump without paths: running numbers in an order that tells nothing, frames in base 64 (rows: key, frames as binary by position)."""
-    number = F.row_number().over(Window.partitionBy("part").orderBy("_h")) - 1
-    out = rows.withColumns({"_h": F.sha2(F.col("key").cast("string"), 256), "part": F.spark_partition_id()})
-    return out.withColumn("id", number).select("part", "id", F.transform("frames", lambda f: F.base64(f)).alias("frames"))
+    """A dump without paths: one running number over all rows in an order that tells nothing, frames in base 64 (rows: key, frames as binary by position)."""
+    own = rows.select(F.sha2(F.col("key").cast("string"), 256).alias("_h"), F.transform("frames", lambda f: F.base64(f)).alias("frames"))
+    return ordering.placed(own, [F.asc("_h")], "id").select((F.col("id") - 1).alias("id"), "frames")

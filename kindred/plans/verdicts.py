@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kindred.functions import signal
-from kindred.operators import verdicts
+from kindred.operators import embedding, verdicts
 from kindred.plans.registry import query
 from kindred.sources.tables import table
 
@@ -128,3 +128,41 @@ def sample_times(spark, sf):
     o = table(spark, sf, "orders")
     source, clip, prints, at = F.col("o_totalprice") / 1000, F.col("o_custkey") % 90 + F.lit(0.5), (F.col("o_orderkey") % 3).cast("double") * 4, (F.col("o_custkey") % 40).cast("double")
     return o.select(F.col("o_orderkey").alias("id"), verdicts.sample_times(source.cast("double"), clip.cast("double"), prints, at).alias("t")).select("id", F.size("t").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda s, x: s + x), 8).alias("total"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding, lambda x: round_even(CAST(x AS DOUBLE) * 127, 0)) AS b FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 50 <> 7),
+c AS (SELECT list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a, lambda z: z * z))) * sqrt(list_sum(list_transform(b, lambda z: z * z)))) AS c FROM v)
+SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 50 = 7) AS missing, round((SELECT min(c) FROM c), 9) AS least_cosine, false AS good""")
+def embedding_check(spark, sf):
+    """Quantised vectors against the table's: some are missing, so the check says no."""
+    rows = table(spark, sf, "embeddings").where("embedding is not null")
+    got = rows.where("vec_id % 50 <> 7").select("vec_id", F.transform("embedding", lambda x: F.rint(x.cast("double") * 127)).alias("vector"))
+    told = embedding.embedding_check(got, rows.select("vec_id", F.col("embedding").alias("vector")), "vec_id", 0.99)
+    return told.withColumn("least_cosine", F.round("least_cosine", 9))
+
+
+def _row_sums():
+    """A model: how much darker or brighter each of the eight rows is than all of them."""
+
+    def model(x):
+        rows = x.reshape(len(x), 8, 8).sum(2)
+        return rows - rows.mean(1, keepdims=True)
+
+    return model
+
+
+@query("""WITH f AS (SELECT vec_id, list_transform(range(0, 8), lambda r: list_sum(list_transform(embedding[8 * r + 1 : 8 * r + 8], lambda x: CAST(floor((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)))) AS s FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT vec_id, list_transform(s, lambda x: abs(8 * x - list_sum(s))) AS d FROM f) SELECT vec_id, CAST(list_position(d, list_max(d)) AS INTEGER) AS strongest FROM d""")
+def embedded_frames(spark, sf):
+    """Each frame through a supplied model, and which component of its vector is the largest (of equal ones the first)."""
+    frame = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("float"))
+    out = embedding.embedded(table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", frame.alias("frame")), "frame", 64, _row_sums, channels=1)
+    size = F.transform("vector", lambda x: F.round(F.abs(x.cast("double")), 6))
+    return out.select("vec_id", F.array_position(size, F.array_max(size)).cast("int").alias("strongest"))
+
+
+@query()
+def principal_directions(spark, sf):
+    """The four main directions of all vectors, a row each."""
+    main = embedding.principal(table(spark, sf, "embeddings"), "embedding", 64, 4)
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(main)], "direction int, vector array<double>")
