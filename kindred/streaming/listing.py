@@ -1,16 +1,13 @@
-"""Change feeds as streams: a keyed listing kept by upserts and deletes, first-seen state, windowed counts."""
+"""Change feeds as streams: a keyed listing kept by upserts and deletes, windowed counts; first-seen state is in ``cleaning``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kindred.sources.journaled import SEQUENCE, JournaledTable
+from kindred.streaming.cleaning import first_seen as first_seen
 
 
 def keep_listing(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -34,27 +31,6 @@ def keep_table(changes: DataFrame, table: JournaledTable, checkpoint: str, order
     return changes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_seen(observed: DataFrame) -> DataFrame:
-    """(key, first_seen, present) for a stream of (key, at, present): set when a key appears, dropped when it goes.
-
-    A key's state is one time, whatever the number of its rows.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("at")
-        since = state.get[0] if state.exists else None
-        for at, present in zip(rows["at"], rows["present"], strict=True):
-            since = (since if since is not None else int(at)) if present else None
-        if since is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((since,))
-        yield pd.DataFrame({"key": [key[0]], "first_seen": pd.array([since], "Int64"), "present": [since is not None]})
-
-    return observed.groupBy("key").applyInPandasWithState(step, "key string, first_seen long, present boolean", "first_seen long", "update", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(events: DataFrame, at: str, kind: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts by tumbling window and kind; rows later than the watermark are dropped. Works on tables and streams."""
     return events.withWatermark(at, late).groupBy(F.window(at, window)["start"].alias("start"), kind).agg(F.count(F.lit(1)).alias("n"))
