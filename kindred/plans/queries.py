@@ -470,6 +470,6 @@ def folder_report(spark, sf):
 
 
 # the other modules register theirs
-from kindred.plans import listings, media, reporting, results, verdicts  # noqa: E402, F401
+from kindred.plans import exchange, listings, media, reporting, results, verdicts  # noqa: E402, F401
 
 __all__ = ["QUERIES", "SQL"]
