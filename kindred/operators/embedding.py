@@ -27,7 +27,7 @@ def embedder(load: Callable[[], Callable[[np.ndarray], np.ndarray]], channels: i
         model = load()
 
         def predict(frames: np.ndarray) -> np.ndarray:
-            x = frames.reshape(len(frames), channels, -1) / 255.0
+            x = np.asarray(frames, float).reshape(len(frames), channels, -1) / 255.0  # in double precision, so equal sums stay equal
             out = np.asarray(model((x - mean) / std), float).reshape(len(frames), -1)
             size = np.sqrt((out**2).sum(1, keepdims=True))
             return (out / np.where(size > 0, size, 1)).astype(np.float32)

@@ -34,6 +34,21 @@ def test_vectors_of_a_supplied_model(spark):
     assert (told.n, told.missing, told.good) == (69, 1, False) and told.least_cosine == pytest.approx(-1, abs=1e-5)
 
 
+def test_equal_components_stay_equal(spark):
+    """Pairs of places with one sum, whose parts are rounded differently in single precision."""
+    rng = np.random.default_rng(5)
+    first = rng.integers(0, 120, (400, 8))
+    moved = rng.integers(1, 100, (400, 4))
+    second = first + np.concatenate([moved, -moved], axis=1)[:, rng.permutation(8)]
+    rows = [(i, np.concatenate([a, b, [255] * 16]).tolist()) for i, (a, b) in enumerate(zip(first, second, strict=True)) if b.min() >= 0]
+
+    def sums():
+        return lambda x: x.reshape(len(x), 4, 8).sum(2)
+
+    out = embedding.embedded(spark.createDataFrame(rows, "id int, frame array<int>"), "frame", 32, sums, channels=1)
+    assert len(rows) > 10 and all(r.vector[0] == r.vector[1] and r.vector[2] == r.vector[3] for r in out.collect())
+
+
 def test_principal_directions_of_all_rows(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 6)) @ np.diag([9, 5, 3, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(size=(6, 6)))[0] + 1e4
