@@ -101,3 +101,25 @@ def test_series_and_bursts(spark):
     near = {r.id: r.in_series for r in ranking.burst_neighbours(frame, ["folder", "series"], "n", 5).collect()}
     assert near == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
     assert pair_set(ranking.burst_pairs(frame, "id", "folder", "series", "n", "timed")) == {(1, 3), (2, 3), (1, 5), (2, 5), (3, 5)}
+
+
+@pytest.mark.parametrize("room", [40, 100_000])
+def test_burst_counts_are_those_of_the_pairs(spark, room):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), f"f{rng.integers(4)}", f"s{rng.integers(2)}", int(rng.integers(0, 4_000_000) if t else rng.integers(-60, 90)), bool(t)) for k, t in zip(rng.integers(0, 400, 500), rng.integers(0, 2, 500), strict=True)]
+    series = [(k, f, f"{s}{t}", n, t) for k, f, s, n, t in rows] + [(1, "g", "s", None, False), (2, "g", "alone", 7, False)]
+    frame = spark.createDataFrame(series, "id long, folder string, series string, n long, timed boolean")
+    # an id is of several rows here, so its folder is told by a number of the row
+    inside = {(r.folder, r.series, r.n): r.in_series for r in ranking.burst_neighbours(frame.where("n is not null"), ["folder", "series"], "n", F.when(F.col("timed"), 60_000).otherwise(5)).collect()}
+    want = {}
+    for ka, fa, sa, na, ta in series:
+        for kb, fb, sb, nb, _ in series:
+            if None not in (na, nb) and ka < kb and sa == sb and 0 < abs(na - nb) <= (300_000 if ta else 20) and (inside[fa, sa, na] or inside[fb, sb, nb]):
+                want[fa] = want.get(fa, 0) + 1
+    assert {r.folder: r.pairs for r in ranking.burst_counts(frame, "id", "folder", "series", "n", "timed", room).collect()} == want
+
+
+def test_burst_counts_make_no_rows_of_pairs(spark):
+    n = 40_000  # 2 million pairs a number
+    frame = spark.range(n).selectExpr("id", "'f' AS folder", "'s' AS series", "id % 4 AS n", "false AS timed")
+    assert [tuple(r) for r in ranking.burst_counts(frame, "id", "folder", "series", "n", "timed", 5000).collect()] == [("f", 6 * (n // 4) ** 2)]
