@@ -123,3 +123,20 @@ def test_burst_counts_make_no_rows_of_pairs(spark):
     n = 40_000  # 2 million pairs a number
     frame = spark.range(n).selectExpr("id", "'f' AS folder", "'s' AS series", "id % 4 AS n", "false AS timed")
     assert [tuple(r) for r in ranking.burst_counts(frame, "id", "folder", "series", "n", "timed", 5000).collect()] == [("f", 6 * (n // 4) ** 2)]
+
+
+@pytest.mark.parametrize(("percent", "least", "most"), [(0, 0, 0), (0.7, 1, 5), (2, 0, 0), (0, 3, 1)])
+def test_duration_counts_are_those_of_the_pairs(spark, percent, least, most):
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], float(d)) for i, d in enumerate(np.round(rng.uniform(0, 400, 500), 1))] + [(900, "a", None), (901, None, 3.0), (902, "c", 5.0)]
+    frame = spark.createDataFrame(rows, "key long, kind string, d double")
+    want = {}
+    for r in similarity.duration_pairs(frame, "key", "d", percent, least, most, F.col("a_kind") == F.col("b_kind"), ("kind",)).collect():
+        n, far = want.get(r.a_kind, (0, 0))
+        want[r.a_kind] = (n + 1, max(far, r.b_key - r.a_key))
+    assert {r.kind: (r.pairs, r.widest) for r in similarity.duration_counts(frame, "key", "d", percent, least, most, ["kind"]).collect()} == want
+
+
+def test_duration_counts_make_no_rows_of_pairs(spark):
+    frame = spark.range(200_000).selectExpr("id AS key", "'a' AS kind", "CAST(100 + id % 3 AS double) AS d")
+    assert [tuple(r) for r in similarity.duration_counts(frame, "key", "d", 0.25, 1.0, 5.0, ["kind"]).collect()] == [("a", 200_000 * 199_999 // 2 - 66_667 * 66_666, 199_999)]
