@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import names
+from kindred.operators.kept import written
 
 
 def group_headers(rows: DataFrame, group: str, size: str, same: list[str], any_of: dict[str, Column]) -> DataFrame:
@@ -83,12 +88,71 @@ def log_groups(rows: DataFrame, session: str, severity: str, message: str, order
     return keyed.groupBy(session, "log_key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
 
 
-def folder_pairs(rows: DataFrame, group: str, folder: str, least: int) -> DataFrame:
-    """Pairs of folders that hold copies of each other in ``least`` sets or more."""
-    own = rows.select(group, folder).distinct()
-    a, b = own.select(group, F.col(folder).alias("a")), own.select(group, F.col(folder).alias("b"))
-    pairs = a.join(b, group).where("a < b").withColumn("pair", names.folder_pair(F.col("a"), F.col("b")))
-    return pairs.groupBy("pair").agg(F.count_distinct(group).alias("sets")).where(F.col("sets") >= least)
+def _pairs_of_sets(t: pa.Table) -> pa.Table:
+    """(a, b, n): in how many sets two folders stand, of rows g, lo, hi, me, folder that are sorted by g, lo, hi, me."""
+    keys = [np.asarray(c.combine_chunks().dictionary_encode().indices) for c in (t["g"], t["lo"], t["hi"])]
+    me, lo, hi = (t[c].to_numpy() for c in ("me", "lo", "hi"))
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    ends = np.append(new[1:], len(me))
+    which = np.repeat(np.arange(len(new)), ends - new)
+    # rows of one chunk meet those after them, rows of two the other chunk
+    second = new + np.add.reduceat((me == lo).astype(np.int64), new)
+    start = np.where(lo == hi, np.arange(len(me)) + 1, second[which])
+    reach = np.where((lo == hi) | (me == lo), ends[which] - start, 0)
+    words = t["folder"].combine_chunks().dictionary_encode()
+    order = np.asarray(pc.sort_indices(words.dictionary))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[np.asarray(words.indices)]
+    i = np.repeat(np.arange(len(me)), reach)
+    j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
+    pairs, n = np.unique(np.minimum(place[i], place[j]) * len(order) + np.maximum(place[i], place[j]), return_counts=True)
+    take = lambda at: words.dictionary.take(pa.array(order[at]))
+    return pa.table({"a": take(pairs // len(order)), "b": take(pairs % len(order)), "n": pa.array(n)})
+
+
+def folder_pairs(rows: DataFrame, group: str, folder: str, least: int, room: int = 1000) -> DataFrame:
+    """Pairs of folders that hold copies of each other in ``least`` sets or more.
+
+    Sets are dealt by ranges; a task counts pairs of some thousand sets at a time, so only sums are rows and those of sets near each other fall
+    together. A set of more than ``room`` folders is dealt in chunks, two of which meet in a task. Where different folders come to one pair
+    without their tails, its sets are counted once more by the sets themselves.
+    """
+    own = rows.select(F.col(group).alias("g"), F.col(folder).alias("folder")).where("g is not null and folder is not null").distinct()
+    large = own.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = own.join(large, "g", "left").withColumn("me", F.pmod(F.xxhash64("folder"), F.coalesce("chunks", F.lit(1))).cast("int"))
+    dealt = dealt.withColumn("you", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    dealt = dealt.select("g", F.least("me", "you").alias("lo"), F.greatest("me", "you").alias("hi"), "me", "folder")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 300 * room:
+                continue
+            t = pa.Table.from_batches(held)
+            last = t.slice(t.num_rows - 1)
+            same = pc.and_(pc.and_(pc.equal(t["g"], last["g"][0]), pc.equal(t["lo"], last["lo"][0])), pc.equal(t["hi"], last["hi"][0]))
+            n = t.num_rows - pc.sum(same).as_py()  # the last set may go on
+            held = t.slice(n).to_batches()
+            if n:
+                yield from _pairs_of_sets(t.slice(0, n)).to_batches(max_chunksize=100_000)
+        if held:
+            yield from _pairs_of_sets(pa.Table.from_batches(held)).to_batches(max_chunksize=100_000)
+
+    # as many ranges as asked for: the rows are few bytes, their pairs are the work
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = dealt.repartitionByRange(parts, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", F.col("me") != F.col("lo"))
+    raw = ranged.mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).withColumn("pair", names.folder_pair(F.col("a"), F.col("b")))
+    both = F.struct("a", "b")
+    sums = raw.groupBy("pair").agg(F.sum("n").alias("sets"), (F.min(both) != F.max(both)).alias("several")).where(F.col("sets") >= least)
+    sums = written(sums, "pairs")
+    once, several = sums.where("not several").select("pair", "sets"), sums.where("several")
+    if several.isEmpty():
+        return once
+    again = raw.select("pair", "a", "b").join(several.select("pair"), "pair", "left_semi")
+    met = again.join(own.withColumnRenamed("folder", "a"), "a").join(own.withColumnRenamed("folder", "b"), ["g", "b"])
+    return once.unionByName(met.groupBy("pair").agg(F.count_distinct("g").alias("sets")).where(F.col("sets") >= least))
 
 
 def all_in_any(groups: DataFrame, group: str, item: str, listed: DataFrame, listing: str) -> DataFrame:

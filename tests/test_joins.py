@@ -140,3 +140,32 @@ def test_duration_counts_are_those_of_the_pairs(spark, percent, least, most):
 def test_duration_counts_make_no_rows_of_pairs(spark):
     frame = spark.range(200_000).selectExpr("id AS key", "'a' AS kind", "CAST(100 + id % 3 AS double) AS d")
     assert [tuple(r) for r in similarity.duration_counts(frame, "key", "d", 0.25, 1.0, 5.0, ["kind"]).collect()] == [("a", 200_000 * 199_999 // 2 - 66_667 * 66_666, 199_999)]
+
+
+@pytest.mark.parametrize("room", [3, 1000])
+def test_folder_pairs_are_those_of_all(spark, room):
+    rng = np.random.default_rng(8)
+    tails = ["", "/x", "/y/x"]
+    rows = [(int(g), f"p{f}{tails[t]}") for g, f, t in zip(rng.integers(0, 60, 900), rng.integers(0, 9, 900), rng.integers(0, 3, 900), strict=True)] + [(1, None), (None, "p1"), (2, "lone")]
+    frame = spark.createDataFrame(rows, "g int, f string")
+    sets = {}
+    for g in range(60):
+        own = sorted({f for h, f in rows if h == g and f})
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                x, y = a.split("/"), b.split("/")
+                while x and y and x[-1] == y[-1]:
+                    x, y = x[:-1], y[:-1]
+                sets.setdefault(tuple(sorted(["/".join(x), "/".join(y)])), set()).add(g)
+    want = {p: len(s) for p, s in sets.items() if len(s) >= 9}
+    assert len(want) > 10 and {tuple(r.pair): r.sets for r in rollups.folder_pairs(frame, "g", "f", 9, room).collect()} == want
+
+
+def test_folder_pairs_sum_before_they_are_rows(spark):
+    """Only sums leave the tasks: 380,000 rows of pairs before, now one each of 190 pairs a task."""
+    import pyarrow as pa
+
+    g, f = np.repeat(np.arange(2000), 20), np.tile(np.arange(20), 2000)
+    zeros = pa.array(np.zeros(len(g), np.int32))
+    out = rollups._pairs_of_sets(pa.table({"g": pa.array(g), "lo": zeros, "hi": zeros, "me": zeros, "folder": pa.array([f"d{x}" for x in f])}))
+    assert out.num_rows == 190 and set(out["n"].to_pylist()) == {2000}
