@@ -143,38 +143,87 @@ def pairs(items: DataFrame, positions: int, side: int, s: Settings, flips: bool
     """(a_key, b_key, difference, by_gray, by_hash, by_ai) of all items that match; with ``flips`` also ``flipped``.
 
     items: key, image, frames, hashes and vectors (unit vectors, null where there is none) at ``positions``, and with flips and hashes
-    mirrored_hashes. Where means over the positions pass, those of one position at least do, so candidates come from
-    lossless joins of single positions, also where dark or bright places are ignored. With flips, each item stands in these
-    joins a second time, mirrored, and meets the plain ones of larger keys; the smaller difference of the two verdicts counts.
+    mirrored_hashes. Frames meet whole, all positions of an item at once, and so do embeddings that crowd, so a pair is a row only if it
+    matches, with its value; hashes, and embeddings where single positions tell most items apart, meet by lossless joins of positions.
+    With flips, each item stands in these joins a second time, mirrored, and meets the plain ones of larger keys; the smaller difference
+    of the two verdicts counts.
     """
     # read several times below, so its lineage is cut
     mirrored = [F.col("mirrored_hashes")] if flips and "mirrored_hashes" in items.columns else [F.lit(None).cast("array<bigint>").alias("mirrored_hashes")]
-    items = clustering.written(items.where(usable(F.col("frames"), side * side, positions)).select("key", "image", "frames", "hashes", "vectors", *mirrored), "items")
-
-    def at(column: str, turned: Column | None = None) -> DataFrame:
-        one = lambda c, m: items.select(F.col("key"), F.posexplode(c).alias("place", "value")).select(F.struct("key", "place", F.lit(m).alias("mirrored")).alias("key"), "value")
-        plain = one(F.col(column), False)
-        return plain if turned is None or not flips else plain.unionByName(one(turned, True))
-
-    frames = at("frames", F.transform("frames", lambda f: signal.flipped(f, side)))
-    found = [similarity.gray_pairs(frames, "key", "value", side, s.most_difference, s.ignore_dark, s.ignore_bright)]
+    items = clustering.written(items.where(usable(F.col("frames"), side * side, positions) & F.col("image").isNotNull()).select("key", "image", "frames", "hashes", "vectors", *mirrored), "items")
+    own_key = lambda m: F.struct("key", F.lit(m).alias("mirrored")).alias("key")
+    turn = lambda c: F.transform(c, lambda f: signal.flipped(f, side))
+    none = F.lit(None).cast("double")
+
+    def told(found: DataFrame, value: Column, name: str, image: bool | Column) -> DataFrame:
+        """Keys are structs that begin with the item's key, so a_key is the smaller item's; of the two only that may be mirrored."""
+        m = F.col("a_key.mirrored")
+        each = {"gray": F.when(~m, value) if name == "gray" else none, "hash": F.when(~m, value) if name == "hash" else none, "ai": value if name == "ai" else none}
+        each |= {"mirrored_gray": F.when(m, value) if name == "gray" else none, "mirrored_hash": F.when(m, value) if name == "hash" else none}
+        found = found.where("a_key.key <> b_key.key and not b_key.mirrored")
+        return found.select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key"), F.lit(image).alias("image"), *[v.cast("double").alias(c) for c, v in each.items()])
+
+    found = []
+    for image in (True, False):
+        if not image and s.use_hashes and not s.combine:
+            continue
+        rows = items.where(F.col("image") if image else ~F.col("image"))
+        whole = (lambda c: c[0]) if image else F.flatten
+        frames = rows.select(own_key(False), whole(F.col("frames")).alias("value"))
+        if flips:
+            frames = frames.unionByName(rows.select(own_key(True), whole(turn(F.col("frames"))).alias("value")))
+        # the limit of one frame is tested on the value, as it is stated on it
+        limit = s.most_difference * (1 + 1e-9) + 1e-12 if image else s.most_difference
+        near = similarity.gray_pairs(frames, "key", "value", side, limit, s.ignore_dark, s.ignore_bright, 1 if image else positions)
+        found.append(told(near.where(F.col("difference") <= s.most_difference) if image else near, F.col("difference"), "gray", image))
     if s.use_hashes or s.combine:
-        found.append(similarity.hamming_pairs(at("hashes", F.col("mirrored_hashes")), "key", "value", s.most_bits))
+        films = items.where("not image")
+        hashes = films.select(own_key(False), F.col("hashes").alias("h"))
+        if flips:
+            hashes = hashes.unionByName(films.select(own_key(True), F.col("mirrored_hashes").alias("h")))
+        codes = hashes.select("key", F.posexplode("h").alias("place", "value")).select(F.struct("key.key", "key.mirrored", "place").alias("key"), "value")
+        met = similarity.hamming_pairs(codes, "key", "value", s.most_bits).where("a_key.place = b_key.place and a_key.key <> b_key.key and not b_key.mirrored")
+        met = met.select(*[F.struct(F.col(f"{x}_key.key").alias("key"), F.col(f"{x}_key.mirrored").alias("mirrored")).alias(f"{x}_key") for x in "ab"]).distinct()
+        for x in "ab":
+            met = met.join(hashes.select(F.col("key").alias(f"{x}_key"), F.col("h").alias(f"{x}_h")), f"{x}_key")
+        met = met.withColumn("mean", hash_quorum(F.col("a_h"), F.col("b_h"), positions, s)).where("mean is not null")
+        found.append(told(met, F.col("mean"), "hash", False))
     if s.use_ai:
-        found.append(similarity.cosine_pairs(at("vectors"), "key", "value", float(np.float32(s.ai_percent) / np.float32(100)) - 1e-6))
-    # keys are structs that begin with the item's key, so a_key is the smaller item's; of two sides that one may be mirrored
-    met = [d.where("a_key.place = b_key.place and a_key.key <> b_key.key and not b_key.mirrored").select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key")) for d in found]
-    met = reduce(DataFrame.unionByName, met).distinct()
-    own = items.withColumn("vectors", F.transform("vectors", signal.quantised))
-    for x in "ab":
-        met = met.join(own.select([F.col(c).alias(f"{x}_{c}") for c in own.columns]), f"{x}_key")
-    sides = [{c: F.col(f"{x}_{c}") for c in ("frames", "hashes", "vectors", "mirrored_hashes")} for x in "ab"]
-    if flips:
-        v, flipped = with_flips(*sides, F.col("a_image"), positions, side, s)
-        more = [F.coalesce(flipped, F.lit(False)).alias("flipped")]
-    else:
-        v, more = union(*sides, F.col("a_image"), positions, s), []
-    return met.where(F.col("a_image") == F.col("b_image")).select("a_key", "b_key", *v.columns(), *more).where("difference is not null")
+        least = float(np.float32(s.ai_percent) / np.float32(100))
+        vectors = items.select(F.struct("key", F.lit(False).alias("mirrored")).alias("key"), "image", "vectors")
+        single = vectors.select("key", "image", F.posexplode("vectors").alias("place", "value")).select(F.struct("key", "place", "image").alias("key"), "value")
+        if similarity.cosines_told_apart(single, "key", "value", least - 1e-6):
+            met = similarity.cosine_pairs(single, "key", "value", least - 1e-6).where("a_key.place = b_key.place and a_key.image = b_key.image")
+            met = met.select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key")).distinct()
+            own = vectors.withColumn("vectors", F.transform("vectors", signal.quantised))
+            for x in "ab":
+                met = met.join(own.select(F.col("key").alias(f"{x}_key"), F.col("image").alias(f"{x}_image"), F.col("vectors").alias(f"{x}_vectors")), f"{x}_key")
+            met = met.select("a_key", "b_key", F.col("a_image").alias("image"), ai_similarity(F.col("a_vectors"), F.col("b_vectors")).alias("cosine")).where(F.col("cosine") >= least)
+            found.append(told(met, F.col("cosine"), "ai", F.col("image")))
+        else:
+            for image in (True, False):
+                near = similarity.mean_cosine_pairs(vectors.where(F.col("image") == image), "key", "vectors", "image", least)
+                found.append(told(near, F.col("cosine"), "ai", image))
+    met = reduce(DataFrame.unionByName, found)
+    if len(found) > 2 or flips:
+        met = met.groupBy("a_key", "b_key", "image").agg(*[F.max(c).alias(c) for c in ("gray", "hash", "ai", "mirrored_gray", "mirrored_hash")])
+    combined = F.lit(s.combine)
+
+    def verdict(gray: Column, hashes: Column, ai: Column | None) -> Verdict:
+        film = F.least(gray, hashes) if s.combine else hashes if s.use_hashes else gray
+        first = F.when(F.col("image"), gray).otherwise(film)
+        by_ai = first.isNull() & ai.isNotNull() if ai is not None else F.lit(False)
+        out = F.when(first.isNotNull(), first).when(by_ai, 1 - ai) if ai is not None else first
+        return Verdict(out, combined & gray.isNotNull(), combined & ~F.col("image") & hashes.isNotNull(), by_ai)
+
+    plain = verdict(F.col("gray"), F.col("hash"), F.col("ai") if s.use_ai else None)
+    if not flips:
+        return met.select("a_key", "b_key", *plain.columns()).where("difference is not null")
+    other = verdict(F.col("mirrored_gray"), F.col("mirrored_hash"), None)
+    flipped = other.difference.isNotNull() & (plain.difference.isNull() | (other.difference < plain.difference))
+    pick = lambda x, y: F.when(flipped, y).otherwise(x)
+    v = Verdict(F.least(plain.difference, other.difference), pick(plain.by_gray, other.by_gray), pick(plain.by_hash, other.by_hash), ~flipped & plain.by_ai)
+    return met.select("a_key", "b_key", *v.columns(), F.coalesce(flipped, F.lit(False)).alias("flipped")).where("difference is not null")
 
 
 def hard_link(a: dict[str, Column], b: dict[str, Column]) -> Column:

@@ -169,3 +169,47 @@ def test_folder_pairs_sum_before_they_are_rows(spark):
     zeros = pa.array(np.zeros(len(g), np.int32))
     out = rollups._pairs_of_sets(pa.table({"g": pa.array(g), "lo": zeros, "hi": zeros, "me": zeros, "folder": pa.array([f"d{x}" for x in f])}))
     assert out.num_rows == 190 and set(out["n"].to_pylist()) == {2000}
+
+
+def test_l1_distances_of_bytes_and_of_any_values():
+    rng = np.random.default_rng(9)
+    for low, high in ((0, 256), (-300, 3000)):
+        x, y = (rng.integers(low, high, (n, 300)).astype("<i2") for n in (70, 45))
+        far = np.abs(x[:, None].astype(int) - y[None])
+        assert (similarity.l1_distances(x, y) == far.sum(2)).all()
+        p, q = x > 40, y > 90
+        assert (similarity.l1_distances(x, y, p, q) == (far * (p[:, None] & q[None])).sum(2)).all()
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+def test_frames_of_several_parts_meet_whole(spark, ignore):
+    """Every pair is alike in its first part; only pairs whose mean over the parts is within the limit are rows."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(20, 250, (120, 4, 16))
+    x[:, 0] = 100
+    x[60:] = np.clip(x[:60] + rng.integers(-30, 31, (60, 1, 1)), 0, 255)
+    frame = spark.createDataFrame([(i, r.ravel().tolist()) for i, r in enumerate(x)], "id long, f array<int>")
+    want = {}
+    for i in range(120):
+        for j in range(i + 1, 120):
+            ok = (np.minimum(x[i], x[j]) > 32) & (np.maximum(x[i], x[j]) < 240) if ignore else np.ones((4, 16), bool)
+            if ok.any(1).all() and (mean := ((np.abs(x[i] - x[j]) * ok).sum(1) / ok.sum(1) / 256.0).mean()) <= 0.05:
+                want[i, j] = pytest.approx(mean)
+    got = {(r.a_key, r.b_key): r.difference for r in similarity.gray_pairs(frame, "id", "f", 4, 0.05, ignore, ignore, parts=4).collect()}
+    assert 10 < len(want) < 120 and got == want
+
+
+def test_mean_cosine_pairs_are_those_of_all(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, 3, 8))
+    x /= np.linalg.norm(x, axis=2, keepdims=True)
+    there = rng.random((90, 3)) < 0.7
+    rows = [(i, i % 2, [v.tolist() if t else None for v, t in zip(r, m, strict=True)]) for i, (r, m) in enumerate(zip(x, there, strict=True))]
+    frame = spark.createDataFrame([*rows, (900, 1, None), (901, 1, []), (902, 0, [None, None, [float("nan")] * 8])], "id long, g int, v array<array<double>>")
+    q, want = np.rint(x * 127), {}
+    for i in range(90):
+        for j in range(i + 2, 90, 2):
+            if (both := there[i] & there[j]).sum() >= 2 and (c := ((q[i] * q[j]).sum(1)[both] / 16129.0).mean()) >= 0.2:
+                want[i, j] = pytest.approx(c)
+    got = {(r.a_key, r.b_key): r.cosine for r in similarity.mean_cosine_pairs(frame, "id", "v", "g", 0.2, room=20).collect()}
+    assert len(want) > 50 and got == want
