@@ -55,9 +55,8 @@ class SimilarPairs:
             return
         kind, judge = _MEASURES[self.measure]
         x, y = (np.frombuffer(b"".join(self.vectors[s]), kind).reshape(len(self.vectors[s]), -1) for s in (0, other))
-        wide = np.int32 if kind == "<i2" else x.dtype
         for lo in range(0, len(x), _STEP):
-            for i, j, value in zip(*judge(self.limit)(x[lo : lo + _STEP].astype(wide), y.astype(wide)), strict=True):
+            for i, j, value in zip(*judge(self.limit)(x[lo : lo + _STEP], y), strict=True):
                 i = i + lo
                 a, b = self.keys[0][i], self.keys[other][j]
                 if a != b and (not self.alone or i < j):

@@ -56,7 +56,7 @@ def candidates_from_sql(spark, sf):
     """The pairs of near frames by the table function, called in SQL on index rows."""
     frames = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5).cast("long")).alias("frame"))
     candidates.register(spark)
-    index = similarity.gray_blocks(frames, "vec_id", "frame", 0.05)
+    index = similarity.gray_blocks(frames, "vec_id", "frame", 0.05, room=16384)  # rows come to the function one by one: large chunks, fewer copies of a row
     found = [spark.sql("SELECT a_key, b_key, value AS difference FROM similar_pairs(TABLE({rows}), 'gray', 0.05)", rows=rows) for rows in index]
     out = frames.select(F.col("vec_id").alias("a_key"), F.col("vec_id").alias("b_key"), F.lit(0.0).alias("difference")).where("false")
     for f in found:
