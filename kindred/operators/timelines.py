@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from kindred.operators import similarity
 
 
+#: Fixed value: how many seconds of a candidate are looked at before its recordings are fetched.
+AHEAD = 4
+
+
 def _chunks(code: Column, most: int) -> Column:
     """A 32-bit code cut into most + 1 chunks: codes within ``most`` bits share one at least."""
     n, out, at = most + 1, [], 0
@@ -18,20 +22,31 @@ def _chunks(code: Column, most: int) -> Column:
     return F.array(*out)
 
 
+def _ahead(codes: str) -> Column:
+    """For each second its code and those of the next ones."""
+    return F.transform(codes, lambda x, i: F.slice(codes, i + 1, AHEAD))
+
+
 def clips_within(sources: DataFrame, clips: DataFrame, key: str, codes: str, least: float) -> DataFrame:
     """(source, clip, similarity, offset): the best place of each clip in each source, if ``least`` alike; ties to the first place.
 
-    codes is an array of 32-bit codes (as long), one a second. Where the mean similarity is ``least``, one second is
-    at least that alike, so its codes share a chunk: candidates come from an equi-join of chunks and are then
-    compared whole. Silent rows (all codes zero), empty ones, a row with itself and sources shorter than the clip give nothing.
+    codes is an array of 32-bit codes (as long), one a second. Where the mean similarity is ``least``, there is a second from which on every
+    stretch of the clip is that alike on the whole (the one before which most bits beyond the mean differ), so candidates come
+    from an equi-join of chunks of that second and are held against the three seconds after it before anything else is fetched; the rest
+    are compared whole. Silent rows (all codes zero), empty ones, a row with itself and sources shorter than the clip give nothing.
     """
-    most = int((1 - least) * 32 + 1e-9)
+    bits_in = lambda seconds: int((1 - least) * 32 * seconds + 1e-9)
+    most = bits_in(1)
     rows = [d.select(F.col(key).alias(k), F.col(codes).alias(f"{k}_codes")).where(F.exists(f"{k}_codes", lambda x: x != 0)) for d, k in ((sources, "source"), (clips, "clip"))]
-    places = [d.select(k, F.size(f"{k}_codes").alias(f"{k}_n"), F.posexplode(f"{k}_codes").alias(f"{k}_at", f"{k}_code")) for d, k in zip(rows, ("source", "clip"), strict=True)]
-    dealt = [p.select("*", F.explode(_chunks(F.col(f"{k}_code"), most)).alias("chunk")) for p, k in zip(places, ("source", "clip"), strict=True)]
+    places = [d.select(k, F.size(f"{k}_codes").alias(f"{k}_n"), F.posexplode(_ahead(f"{k}_codes")).alias(f"{k}_at", f"{k}_next")) for d, k in zip(rows, ("source", "clip"), strict=True)]
+    dealt = [p.select("*", F.explode(_chunks(F.col(f"{k}_next")[0], most)).alias("chunk")) for p, k in zip(places, ("source", "clip"), strict=True)]
     offset = F.col("source_at") - F.col("clip_at")
-    near = F.bit_count(F.col("source_code").bitwiseXOR(F.col("clip_code"))) <= most
-    met = dealt[0].join(dealt[1], "chunk").where(near & (F.col("source") != F.col("clip")) & (offset >= 0) & (offset <= F.col("source_n") - F.col("clip_n")))
+    differ = [F.bit_count(F.get("source_next", F.lit(i)).bitwiseXOR(F.get("clip_next", F.lit(i)))) for i in range(AHEAD)]
+    near, total = F.lit(True), F.lit(0)
+    for i, bits in enumerate(differ):
+        total = total + bits
+        near = near & ((F.size("clip_next") <= i) | (total <= bits_in(i + 1)))
+    met = dealt[0].join(dealt[1], "chunk").where((differ[0] <= most) & (F.col("source") != F.col("clip")) & (offset >= 0) & (offset <= F.col("source_n") - F.col("clip_n"))).where(near)
     found = met.select("source", "clip", offset.alias("offset")).distinct().join(rows[0], "source").join(rows[1], "clip")
     own = F.slice("source_codes", F.col("offset") + 1, F.size("clip_codes"))
     bits = F.aggregate(F.zip_with("clip_codes", own, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)

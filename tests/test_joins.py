@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import names
-from kindred.operators import blocks, ranking, reasons, rollups, similarity
+from kindred.operators import blocks, candidates, ranking, reasons, rollups, similarity, timelines
 
 
 def clustered(rng, n, centres, dims, spread):
@@ -213,3 +213,39 @@ def test_mean_cosine_pairs_are_those_of_all(spark):
                 want[i, j] = pytest.approx(c)
     got = {(r.a_key, r.b_key): r.cosine for r in similarity.mean_cosine_pairs(frame, "id", "v", "g", 0.2, room=20).collect()}
     assert len(want) > 50 and got == want
+
+
+def test_clips_of_any_length_are_found_wherever_their_errors_lie(spark):
+    rng = np.random.default_rng(12)
+    sources = [[int(c) for c in rng.integers(0, 2**32, 30)] for _ in range(12)]
+    clips = []
+    for i, s in enumerate(sources):
+        n, at = int(rng.integers(1, 12)), int(rng.integers(0, 15))
+        bits = [0] * n
+        for _ in range(int(0.1 * 32 * n) + i % 2):  # up to the limit, or one bit beyond it; crowded at an end
+            bits[0 if i % 3 == 0 else n - 1 if i % 3 == 1 else int(rng.integers(n))] += 1
+        if max(bits) <= 32:
+            clips.append((100 + i, [c ^ sum(1 << int(b) for b in rng.permutation(32)[:k]) for c, k in zip(s[at : at + n], bits, strict=True)]))
+    frames = [spark.createDataFrame(r, "id int, codes array<bigint>") for r in ([*enumerate(sources), (50, [0] * 30), (51, [])], [*clips, (200, [0, 0])])]
+    want = {}
+    for i, s in enumerate(sources):
+        for j, c in clips:
+            for at in range(len(s) - len(c) + 1):
+                alike = 1 - sum((x ^ y).bit_count() for x, y in zip(c, s[at:], strict=False)) / (32 * len(c))
+                if alike >= 0.9 and alike > want.get((i, j), (0, 0))[0]:
+                    want[i, j] = (alike, at)
+    got = {(r.source, r.clip): (r.similarity, r.offset) for r in timelines.clips_within(*frames, "id", "codes", 0.9).collect()}
+    assert 3 <= len(want) < len(clips) and got == want
+    looked = timelines._ahead("codes")
+    assert [len(x) for x in frames[0].where("id = 1").select(looked.alias("x")).first().x[-4:]] == [4, 3, 2, 1]
+
+
+def test_table_function_takes_bytes_as_they_are(spark):
+    """Frames are judged in the width that they come in: the same pairs as all."""
+    x = np.random.default_rng(13).integers(0, 256, (80, 16))
+    x[40:] = np.clip(x[:40] + 3, 0, 255)
+    candidates.register(spark)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, f array<int>")
+    (index,) = similarity.gray_blocks(frame, "id", "f", 0.02, room=16)
+    got = {(r.a_key, r.b_key) for r in spark.sql("SELECT * FROM similar_pairs(TABLE({rows}), 'gray', 0.02)", rows=index).collect()}
+    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if np.abs(x[i] - x[j]).sum() <= 0.02 * 256 * 16} and len(got) >= 40
