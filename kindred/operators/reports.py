@@ -7,6 +7,7 @@ choices are windows over one partitioning by set, so a set is never gathered in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +32,12 @@ def original_order(path: str = "path") -> list[Column]:
     return [F.when(F.col("synced"), 0).otherwise(1).asc(), passing.asc(), marked.asc(), F.col("modified").asc(), F.length(name).asc(), low.asc(), F.col(path).asc()]
 
 
-def photo_keepers(rows: DataFrame) -> DataFrame:
+def photo_keepers(rows: DataFrame, by: tuple[str, ...] = ("grp",)) -> DataFrame:
     """The rows with keep and reason: highest resolution, the only ones with a capture date, oldest within two seconds, largest, original-looking.
 
-    Each step narrows the choice of the set; the reason is the step that left one.
+    Each step narrows the choice of the set; the reason is the step that left one. ``by``: the columns that tell sets apart.
     """
-    w = Window.partitionBy("grp")
+    w = Window.partitionBy(*by)
     left = lambda c: F.count_if(F.col(c)).over(w)
     frame = F.col("width") + F.col("height")
     out = rows.withColumn("_1", frame == F.max(frame).over(w)).withColumn("_n1", left("_1"))
@@ -51,15 +52,15 @@ def photo_keepers(rows: DataFrame) -> DataFrame:
     return out.withColumns({"keep": first == 1, "reason": reason}).drop("_1", "_n1", "_d", "_nd", "_2", "_3", "_n3", "_4", "_n4")
 
 
-def video_keepers(rows: DataFrame) -> DataFrame:
+def video_keepers(rows: DataFrame, by: tuple[str, ...] = ("grp",)) -> DataFrame:
     """The rows with keep and reason: longest, with sound, resolution, bit rate, frame rate, oldest, smallest; the reason tells it from the second."""
     frame = F.col("width") + F.col("height")
     ranked = {"longest": F.rint("seconds"), "with sound": F.col("audio").isNotNull().cast("int"), "resolution": frame, "bit rate": F.col("kilobits"), "frame rate": F.col("rate")}
-    w = Window.partitionBy("grp").orderBy(*[c.desc() for c in ranked.values()], F.col("modified").asc(), F.col("size").asc(), F.col("path").asc())
+    w = Window.partitionBy(*by).orderBy(*[c.desc() for c in ranked.values()], F.col("modified").asc(), F.col("size").asc(), F.col("path").asc())
     out = rows.withColumns({f"_v{i}": c for i, c in enumerate(ranked.values())} | {"_place": F.row_number().over(w)})
     reason = F.coalesce(*[F.when(F.col(f"_v{i}") > F.lead(f"_v{i}").over(w), F.lit(name)) for i, name in enumerate(ranked)], F.lit("oldest"))
     out = out.withColumn("reason", reason)
-    out = out.withColumn("reason", F.max(F.when(F.col("_place") == 1, F.col("reason"))).over(Window.partitionBy("grp")))
+    out = out.withColumn("reason", F.max(F.when(F.col("_place") == 1, F.col("reason"))).over(Window.partitionBy(*by)))
     return out.withColumn("keep", F.col("_place") == 1).drop("_place", *[f"_v{i}" for i in range(len(ranked))])
 
 
@@ -164,42 +165,69 @@ def lined_up(related: DataFrame, pictures: DataFrame) -> DataFrame:
     return related.drop("lines_up").join(told, (F.col("i_path") == F.col("_i")) & (F.col("k_path") == F.col("_k")), "left").drop("_i", "_k")
 
 
-BESIDE = "i_grp i_path i_series i_shot i__shown k__shown relation percent lines_up".split()
+#: Rounds over sets that are planned as one; more of them write fewer tables, but a plan of many windows takes long to make.
+ROUNDS = 2
+_SET = "grp", "_open"
 
 
-def _beside_keeper(rest: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The kept row of each set, and the others as i_ columns beside the kept one's k_ columns, with what ``relate`` adds."""
-    kind = rest.withColumn("_photos", F.min_by("image", F.struct(F.lower("path"), "path")).over(Window.partitionBy("grp")))
-    chosen = photo_keepers(kind.where("_photos")).unionByName(video_keepers(kind.where("not _photos"))).drop("_photos", "reason")
-    chosen = written(chosen, "chosen")
-    kept = chosen.where("keep").drop("keep")
-    i, k = (d.select([F.col(c).alias(f"{x}_{c}") for c in rest.columns]) for x, d in (("i", chosen.where("not keep")), ("k", kept)))
-    related = relate(i.join(k, F.col("i_grp") == F.col("k_grp")))
-    # written once, as each later step names the relation several times
-    return kept, written(related.select(*[c for c in BESIDE if c in related.columns]), "beside")
+def _beside_keeper(rest: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows with ``_keep``, whether they are the one that their set's open rows keep, and what ``relate`` says of them beside that one."""
+    mine = [c for c in rest.columns if c not in STATE]
+    out = rest.withColumn("_photos", F.min_by("image", F.struct(F.lower("path"), "path")).over(Window.partitionBy(*_SET)))
+    out = photo_keepers(out, _SET).withColumnRenamed("keep", "_photo").drop("reason")
+    out = video_keepers(out, _SET)
+    out = out.withColumn("_keep", F.col("_open") & F.when(F.col("_photos"), F.col("_photo")).otherwise(F.col("keep")))
+    out = out.withColumn("_kept", F.first(F.when(F.col("_keep"), F.struct(*mine)), ignorenulls=True).over(Window.partitionBy(*_SET)))
+    related = relate(out.select(*STATE, "_keep", *[F.col(c).alias(f"i_{c}") for c in mine], *[F.col("_kept")[c].alias(f"k_{c}") for c in mine]))
+    told = [c for c in ("relation", "percent", "lines_up") if c in related.columns]
+    return related.select(*STATE, "_keep", *[F.col(f"i_{c}").alias(c) for c in mine], F.col("k__shown"), *told)
+
+
+#: Of a row in rounds: is it open still, the number of its part (null: none), is it the kept one of its part.
+STATE = "_open _part _head".split()
+
+
+def _worked_off(rows: DataFrame, relate: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+    """(grp, path, _part, _head) of rows (with _open) when none is open any more.
+
+    judge: from rows beside their kept ones and a round's number the same rows with their new state. What a round asks of
+    a set are windows over one dealing by set, and the kept row reaches the others in one of them, so ``ROUNDS`` rounds
+    shuffle the open rows once and write them once.
+    """
+    state = rows.withColumns({"_part": F.lit(None).cast("int"), "_head": F.lit(False)} | ({} if "_shown" in rows.columns else {"_shown": F.lit(False)}))
+    mine, done, number = [c for c in state.columns if c not in (*STATE, "grp", "path")], [], 0
+    while True:
+        state = state.repartition("grp")
+        for _ in range(ROUNDS):
+            number += 1
+            state = judge(_beside_keeper(state, relate), F.lit(number)).select("grp", "path", *mine, *STATE)
+            # a row alone in its set has nothing to be beside
+            state = state.withColumn("_open", F.col("_open") & (F.count(F.lit(1)).over(Window.partitionBy(*_SET)) > 1))
+        held = written(state.select("grp", "path", *STATE, *[F.when(F.col("_open"), F.col(c)).alias(c) for c in mine]), "rounds")
+        done.append(held.where("not _open").select("grp", "path", "_part", "_head"))
+        state = held.where("_open")
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def split_by_picture(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(grp, path, part): a set that holds two sets of copies or more becomes one for each, and what copies nothing goes; others stay whole (part 0).
 
-    relate: from rows of i_ and k_ columns (a member, the kept one) the same rows with relation. All sets are worked off at
-    once, in rounds: a round keeps one file a set and takes its copies out, so there are as many rounds as pictures in the set
-    of most, and a row meets one other row a round. Paths are unique within a set.
+    relate: from rows of i_ and k_ columns (a member, the kept one) the same rows with relation; the kept one stands beside itself
+    too, and what is said of that counts for nothing. All sets are worked off at once, in rounds: a round keeps one file a set and
+    takes its copies out, so there are as many rounds as pictures in the set of most, and a row meets one other row a round. Paths
+    are unique within a set.
     """
-    sizes = Window.partitionBy("grp")
-    rows = written(rows, "rows")
-    rest = rows.withColumn("_n", F.count(F.lit(1)).over(sizes)).where("_n >= 4").drop("_n")
-    done, number = rows.select("grp", "path", F.lit(0).alias("part")).where("false"), 0
-    while not rest.isEmpty():
-        number += 1
-        kept, beside = _beside_keeper(rest, relate)
-        copied = beside.where(F.col("relation").isin(PLAIN)).select(F.col("i_grp").alias("grp"), F.col("i_path").alias("path"))
-        taken = written(kept.select("grp", "path").unionByName(copied).withColumn("part", F.lit(number)), "taken")
-        done, rest = done.unionByName(taken), written(rest.join(taken, ["grp", "path"], "left_anti"), "rest")
-    copies = done.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("grp", "part"))).where("_n > 1").drop("_n")
-    several = copies.groupBy("grp").agg(F.count_distinct("part").alias("_k")).where("_k > 1").select("grp")
-    whole = rows.join(several, "grp", "left_anti").select("grp", "path", F.lit(0).alias("part"))
-    return whole.unionByName(copies.join(several, "grp", "left_semi"))
+
+    def judge(beside: DataFrame, number: Column) -> DataFrame:
+        taken = F.col("_open") & (F.col("_keep") | F.coalesce(F.col("relation").isin(PLAIN), F.lit(False)))
+        return beside.withColumns({"_head": F.col("_head") | F.col("_keep"), "_part": F.when(taken, number).otherwise(F.col("_part")), "_open": F.col("_open") & ~taken})
+
+    whole = Window.partitionBy("grp")
+    parts = _worked_off(rows.withColumn("_open", F.count(F.lit(1)).over(whole) >= 4), relate, judge).repartition("grp")
+    parts = parts.withColumn("_n", F.when(F.col("_part").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("grp", "_part"))))
+    parts = parts.withColumn("_k", F.count_if(F.col("_head") & (F.col("_n") > 1)).over(whole)).where("_k < 2 or _n > 1")
+    return parts.select("grp", "path", F.when(F.col("_k") < 2, 0).otherwise(F.col("_part")).alias("part"))
 
 
 def leave_out(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -210,32 +238,31 @@ def leave_out(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> Data
     kept file. rows: ``ITEM`` with series and shot (null series: none). relate adds relation, percent and lines_up (null: not
     asked). Rounds as in ``split_by_picture``; the order within a set is by windows.
     """
-    rest = written(rows.withColumn("_shown", F.lit(False)), "rest")
-    done, number = rest.select("grp", "path", F.lit(0).alias("part")).where("false"), 0
-    plain, same = F.col("relation").isin(PLAIN), F.col("relation") == "identical"
-    while True:
-        rest = written(rest.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("grp"))).where("_n > 1").drop("_n"), "rest")
-        if rest.isEmpty():
-            return done
-        number += 1
-        kept, beside = _beside_keeper(rest, relate)
-        other = F.col("relation").isin(OTHER_VERSIONS)
-        alike = (F.col("relation") != "different") & F.coalesce(F.col("percent") >= ALIKE, F.lit(False)) & (plain | ~(F.col("k__shown") | F.col("i__shown"))) & F.coalesce("lines_up", F.lit(True))
-        place = F.row_number().over(Window.partitionBy("i_grp").orderBy(same.desc(), plain.desc(), F.col("percent").desc(), "i_path"))
+    plain, same, other = F.col("relation").isin(PLAIN), F.col("relation") == "identical", F.col("relation").isin(OTHER_VERSIONS)
+
+    def judge(beside: DataFrame, number: Column) -> DataFrame:
+        alike = (F.col("relation") != "different") & F.coalesce(F.col("percent") >= ALIKE, F.lit(False)) & (plain | ~(F.col("k__shown") | F.col("_shown"))) & F.coalesce("lines_up", F.lit(True))
+        # the kept row is not among those that are put in order
+        others = "grp", "_open", "_keep"
+        place = F.row_number().over(Window.partitionBy(*others).orderBy(same.desc(), plain.desc(), F.col("percent").desc(), "path"))
         judged = beside.withColumns({"_same": same, "_other": other & ~same, "_may": ~same & ~other & alike, "_place": place})
         # within a series the identical ones come first; after them the shot of the first that stays
-        series = Window.partitionBy("i_grp", "i_series")
+        series = Window.partitionBy(*others, "series")
         before = series.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-        shot = F.when(F.col("_same") | F.col("_may"), F.col("i_shot"))
-        own = F.when(F.col("_same"), F.col("i_shot"))
+        shot = F.when(F.col("_same") | F.col("_may"), F.col("shot"))
+        own = F.when(F.col("_same"), F.col("shot"))
         judged = judged.withColumns({"_first": F.first(shot, ignorenulls=True).over(before), "_low": F.min(own).over(series), "_high": F.max(own).over(series)})
-        sibling = F.coalesce(F.col("i_series").isNotNull() & ((F.col("_first") != F.col("i_shot")) | (F.col("_first").isNotNull() & (F.col("_low") != F.col("_high")))), F.lit(False))
-        judged = judged.select(F.col("i_grp").alias("grp"), F.col("i_path").alias("path"), (F.col("_same") | (F.col("_may") & ~sibling)).alias("stays"), (~F.col("_same") & (F.col("_other") | sibling)).alias("version"))
-        judged = written(judged.unionByName(kept.select("grp", "path", F.lit(True).alias("stays"), F.lit(False).alias("version"))), "judged")
-        sets = judged.groupBy("grp").agg((F.count_if("stays") > 1).alias("_set"))
-        done = done.unionByName(judged.where("stays").join(sets.where("_set"), "grp", "left_semi").select("grp", "path", F.lit(number).alias("part")))
-        rest = rest.join(judged.where("not stays").select("grp", "path", "version"), ["grp", "path"]).join(sets, "grp")
-        rest = rest.withColumn("_shown", F.col("_shown") | (F.col("version") & F.col("_set"))).drop("version", "_set")
+        sibling = F.coalesce(F.col("series").isNotNull() & ((F.col("_first") != F.col("shot")) | (F.col("_first").isNotNull() & (F.col("_low") != F.col("_high")))), F.lit(False))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        judged = judged.withColumns({"_stays": F.col("_open") & (F.col("_keep") | yes(F.col("_same") | (F.col("_may") & ~sibling))), "_version": ~F.col("_keep") & yes(~F.col("_same") & (F.col("_other") | sibling))})
+        judged = judged.withColumn("_set", F.count_if("_stays").over(Window.partitionBy(*_SET)) > 1)
+        return judged.withColumns({
+            "_part": F.when(F.col("_stays") & F.col("_set"), number).otherwise(F.col("_part")), "_open": F.col("_open") & ~F.col("_stays"),
+            "_shown": F.col("_shown") | (F.col("_version") & F.col("_set")),
+        })
+
+    found = _worked_off(rows.withColumn("_open", F.count(F.lit(1)).over(Window.partitionBy("grp")) > 1), relate, judge)
+    return found.where("_part is not null").select("grp", "path", F.col("_part").alias("part"))
 
 
 def pair_walk(decisions: DataFrame, count: str) -> DataFrame:

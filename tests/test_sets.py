@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import audio, headers
 from kindred.operators import looks, reports
+from kindred.operators.kept import written
 from kindred.plans.reporting import relate
 
 DAY = "date'2024-01-0{}'"
@@ -83,6 +84,23 @@ def test_sets_in_rounds_are_those_of_plain_loops(spark, members):
         assert operator(members.where("false"), relate).collect() == []
 
 
+def test_rounds_of_sets_shuffle_the_open_rows_once_a_table(spark, members, monkeypatch):
+    plans, tables = [], []
+
+    def kept(frame, name):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        tables.append(written(frame, name))
+        return tables[-1]
+
+    monkeypatch.setattr(reports, "written", kept)
+    for operator in (reports.split_by_picture, reports.leave_out):
+        found = operator(members, relate)
+        number = max(r.part for r in found.collect())
+        assert len(tables) <= number + 2 and all(p.count("Exchange hashpartitioning") == 1 and "Join" not in p for p in plans)
+        plans.clear()
+        tables.clear()
+
+
 def test_differences_of_frames(spark):
     rng = np.random.default_rng(5)
     wide, high = 40, 30
