@@ -165,8 +165,6 @@ def lined_up(related: DataFrame, pictures: DataFrame) -> DataFrame:
     return related.drop("lines_up").join(told, (F.col("i_path") == F.col("_i")) & (F.col("k_path") == F.col("_k")), "left").drop("_i", "_k")
 
 
-#: Rounds over sets that are planned as one; more of them write fewer tables, but a plan of many windows takes long to make.
-ROUNDS = 2
 _SET = "grp", "_open"
 
 
@@ -191,18 +189,16 @@ def _worked_off(rows: DataFrame, relate: Callable[[DataFrame], DataFrame], judge
     """(grp, path, _part, _head) of rows (with _open) when none is open any more.
 
     judge: from rows beside their kept ones and a round's number the same rows with their new state. What a round asks of
-    a set are windows over one dealing by set, and the kept row reaches the others in one of them, so ``ROUNDS`` rounds
-    shuffle the open rows once and write them once.
+    a set are windows over one dealing by set, and the kept row reaches the others in one of them, so a round shuffles the
+    open rows once and writes them once. Two rounds over one dealing cost more, as closed rows go through the second.
     """
     state = rows.withColumns({"_part": F.lit(None).cast("int"), "_head": F.lit(False)} | ({} if "_shown" in rows.columns else {"_shown": F.lit(False)}))
     mine, done, number = [c for c in state.columns if c not in (*STATE, "grp", "path")], [], 0
     while True:
-        state = state.repartition("grp")
-        for _ in range(ROUNDS):
-            number += 1
-            state = judge(_beside_keeper(state, relate), F.lit(number)).select("grp", "path", *mine, *STATE)
-            # a row alone in its set has nothing to be beside
-            state = state.withColumn("_open", F.col("_open") & (F.count(F.lit(1)).over(Window.partitionBy(*_SET)) > 1))
+        number += 1
+        state = judge(_beside_keeper(state.repartition("grp"), relate), F.lit(number)).select("grp", "path", *mine, *STATE)
+        # a row alone in its set has nothing to be beside
+        state = state.withColumn("_open", F.col("_open") & (F.count(F.lit(1)).over(Window.partitionBy(*_SET)) > 1))
         held = written(state.select("grp", "path", *STATE, *[F.when(F.col("_open"), F.col(c)).alias(c) for c in mine]), "rounds")
         done.append(held.where("not _open").select("grp", "path", "_part", "_head"))
         state = held.where("_open")
@@ -261,7 +257,7 @@ def leave_out(rows: DataFrame, relate: Callable[[DataFrame], DataFrame]) -> Data
             "_shown": F.col("_shown") | (F.col("_version") & F.col("_set")),
         })
 
-    found = _worked_off(rows.withColumn("_open", F.count(F.lit(1)).over(Window.partitionBy("grp")) > 1), relate, judge)
+    found = _worked_off(rows.withColumn("_open", F.count(F.lit(1)).over(Window.partitionBy("grp")) > 1).where("_open"), relate, judge)
     return found.where("_part is not null").select("grp", "path", F.col("_part").alias("part"))
 
 
