@@ -149,18 +149,21 @@ def sort_orders(mode: str, descending: bool) -> tuple[list[Column], list[Column]
     return [turn(group), F.asc("grp")], [*([turn(member)] if member else []), F.asc("place")]
 
 
-def listed(rows: DataFrame, mode: str, descending: bool) -> DataFrame:
+def listed(rows: DataFrame, mode: str, descending: bool, keep: list[str] | None = None) -> DataFrame:
     """The members of all sets with ``listed``, their place in the whole listing of a mode: set after set, member after member.
 
     rows: grp, place and what ``headers`` reads. A member meets its set's figures by its group; sets and members are then one
-    order over all rows, so no set is gathered in a task.
+    order over all rows, so no set is gathered in a task. ``keep``: the columns to return beside ``listed`` (None: all); others
+    are neither joined nor dealt out unless the order needs them, and of a set's figures only the one of the mode is worked out.
     """
-    figures = headers(rows)
-    own = [F.col(c).alias(f"_set_{c}") for c in figures.columns if c != "grp"]
     group, member = SORT_MODES[mode]
+    keep = rows.columns if keep is None else keep
+    # narrowed before figures meet them, as ranges are written whole
+    figures = headers(rows).select("grp", F.col(group).alias(f"_set_{group}"))
+    rows = rows.select(*dict.fromkeys(["grp", "place", *([member] if member else []), *keep]))
     turn = lambda c: F.col(c).desc() if descending else F.col(c).asc()
     order = [turn(f"_set_{group}"), F.asc("grp"), *([turn(member)] if member else []), F.asc("place")]
-    return ordering.placed(rows.join(figures.select("grp", *own), "grp"), order, "listed").select(*rows.columns, "listed")
+    return ordering.placed(rows.join(figures, "grp"), order, "listed").select(*keep, "listed")
 
 
 #: What the web page sorts the members of a set by, as chosen for each set: the largest first, names from A on.

@@ -95,7 +95,7 @@ def sorted_sets(spark, sf):
 @query(f"""WITH {_SETS}, h AS (SELECT grp, max(similarity) AS most_alike FROM m GROUP BY grp) SELECT grp, m.place AS member, row_number() OVER (ORDER BY h.most_alike DESC, grp, m.similarity DESC, m.place) AS place FROM m JOIN h USING (grp)""")
 def listed_members(spark, sf):
     """All members of all sets in the order of the listing: sets by their likeness, members by their own."""
-    return results.listed(_sets(spark, sf), "similarity", True).select("grp", F.col("place").alias("member"), F.col("listed").alias("place"))
+    return results.listed(_sets(spark, sf), "similarity", True, ["grp", "place"]).select("grp", F.col("place").alias("member"), F.col("listed").alias("place"))
 
 
 @query(f"""WITH {_SETS}, h AS (SELECT grp, max(created) AS newest, min(lower(path)) AS first_path, count(*) AS files FROM m GROUP BY grp), o AS (SELECT grp, row_number() OVER (ORDER BY newest, grp) AS by_date, row_number() OVER (ORDER BY first_path DESC, grp) AS by_folder, row_number() OVER (ORDER BY files DESC, grp) AS by_count FROM h) SELECT * FROM o""")

@@ -105,3 +105,14 @@ def test_ten_modes(spark, mode):
             want += [(g, x["place"]) for x in own]
         got = [(r.grp, r.place) for r in results.listed(frame, mode, down).orderBy("listed").collect()]
         assert got == want
+
+
+def test_a_listing_deals_out_only_what_it_keeps(spark, monkeypatch):
+    rows = [(1 + i % 3, i, f"/p{i}", True, 10.0 * (i % 4), False, True, i, "2024-01-01", 1.0, 1) for i in range(12)]
+    frame = spark.createDataFrame(rows, "grp long, place long, path string, image boolean, similarity double, checked boolean, live boolean, size long, created string, seconds double, frame int")
+    whole = {(r.grp, r.place): r.listed for r in results.listed(frame, "similarity", True).collect()}
+    columns = []
+    monkeypatch.setattr(results.ordering, "written", lambda d, name: columns.append(set(d.columns)) or d)
+    got = results.listed(frame, "similarity", True, ["grp", "place"])
+    assert got.columns == ["grp", "place", "listed"] and {(r.grp, r.place): r.listed for r in got.collect()} == whole
+    assert columns == [{"grp", "place", "similarity", "_set_most_alike", "_place_at"}]
