@@ -249,3 +249,39 @@ def test_table_function_takes_bytes_as_they_are(spark):
     (index,) = similarity.gray_blocks(frame, "id", "f", 0.02, room=16)
     got = {(r.a_key, r.b_key) for r in spark.sql("SELECT * FROM similar_pairs(TABLE({rows}), 'gray', 0.02)", rows=index).collect()}
     assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if np.abs(x[i] - x[j]).sum() <= 0.02 * 256 * 16} and len(got) >= 40
+
+
+def test_folder_pairs_below_the_least_are_no_rows(spark):
+    """Sets whose pairs are nearly all different: before, each was a row that was shuffled; now a block holds all sets of its pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    g, f = np.repeat(np.arange(400), 12), np.concatenate([rng.choice(3000, 12, replace=False) for _ in range(400)])
+    g, f = np.concatenate([g, np.repeat(np.arange(6), 2)]), np.concatenate([f, np.tile([9000, 9001], 6)])  # one pair in six sets
+    order = np.argsort(g, kind="stable")
+    blocks = rollups._dealt(pa.table({"g": g[order], "id": f[order]}), 3)
+    ids = np.unique(f)
+    more = pa.table({"id": ids, "last": ids, "leaf": np.ones(len(ids), bool), "alone": np.zeros(len(ids), bool), "folder": [f"d{i}" for i in ids]})
+    found = []
+    for b in sorted(set(blocks["block"].to_pylist())):
+        own = blocks.filter(pa.compute.equal(blocks["block"], b)).to_pylist()
+        found += rollups._counted_block(pa.Table.from_pylist(own + more.to_pylist(), schema=rollups._HELD), 6).to_pylist()
+    assert len(set(blocks["block"].to_pylist())) == 6 and found == [{"a": "d9000", "b": "d9001", "n": 6, "once": True}]
+
+
+@pytest.mark.parametrize("table", [1 << 25, 1 << 6])
+@pytest.mark.parametrize("least", [1, 5])
+@pytest.mark.parametrize("full", [False, True])
+def test_counted_pairs_are_those_of_all(table, least, full):
+    """With a counter for each pair, with fewer than pairs, and in sets that nearly all folders are in."""
+    rng = np.random.default_rng(6)
+    sides = [[rng.choice(n, rng.integers(n // 2 if full else 0, n if full else 5), replace=False) for _ in range(60)] for n in (12, 15)]
+    flat = [(np.concatenate(s).astype(np.int32), np.array([len(x) for x in s])) for s in sides]
+    kept = lambda x, y, n: n >= least
+    for second in (sides[1], None):
+        want = {}
+        for i, x in enumerate(sides[0]):
+            for p in [(u, v) for u in x for v in second[i]] if second else [(u, v) for u in x for v in x if u < v]:
+                want[p] = want.get(p, 0) + 1
+        x, y, n = rollups._counted(*flat[0], *(flat[1] if second else (None, None)), (12, 15) if second else (12, 12), kept, least, table)
+        assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), n.tolist(), strict=True)) == {(int(u), int(v)): c for (u, v), c in want.items() if c >= least}
