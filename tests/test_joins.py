@@ -285,3 +285,18 @@ def test_counted_pairs_are_those_of_all(table, least, full):
                 want[p] = want.get(p, 0) + 1
         x, y, n = rollups._counted(*flat[0], *(flat[1] if second else (None, None)), (12, 15) if second else (12, 12), kept, least, table)
         assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), n.tolist(), strict=True)) == {(int(u), int(v)): c for (u, v), c in want.items() if c >= least}
+
+
+def test_only_seconds_that_start_a_match_leave_the_cells_of_clips(spark, monkeypatch):
+    """Chance candidates are judged in the tasks: before, every pair of seconds with an equal byte was a row. Cells of many rows are dealt in chunks."""
+    rng = np.random.default_rng(21)
+    series = [(i, [int(c) for c in rng.integers(0, 2**32, 40)]) for i in range(60)] + [(60, [7] * 400)]
+    clips = [(100 + i, [c ^ 3 for c in s[10:25]]) for i, s in series[:60:3]] + [(200, [7] * 12)]
+    frames = [spark.createDataFrame(r, "id int, codes array<bigint>") for r in (series, clips)]
+    held, chunks = [], []
+    writing, dealing = timelines.written, timelines._chunks_of
+    monkeypatch.setattr(timelines, "written", lambda df, name: held.append(writing(df, name)) or held[-1])
+    monkeypatch.setattr(timelines, "_chunks_of", lambda p, room: chunks.append(dealing(p, room)) or chunks[-1])
+    got = {(r.source, r.clip): (r.similarity, r.offset) for r in timelines.clips_within(*frames, "id", "codes", 0.9, 50).collect()}
+    assert got == {(i, 100 + i): (1 - 2 / 32, 10) for i in range(0, 60, 3)} | {(60, 200): (1.0, 0)}
+    assert max(chunks[0]) >= 8 and {(r.source, r.clip) for r in held[0].collect()} == set(got)
