@@ -154,11 +154,14 @@ def pairs(items: DataFrame, positions: int, side: int, s: Settings, flips: bool
     own_key = lambda m: F.struct("key", F.lit(m).alias("mirrored")).alias("key")
     turn = lambda c: F.transform(c, lambda f: signal.flipped(f, side))
     none = F.lit(None).cast("double")
+    # a pair that hashes match is no row of those of frames, and one that either matches none of those of embeddings: so no pair is a row
+    # twice, and results, which may grow with the square of the items, are not brought together
+    parted = not (flips or s.ignore_dark or s.ignore_bright or (s.use_hashes and not s.combine))
 
-    def told(found: DataFrame, value: Column, name: str, image: bool | Column) -> DataFrame:
+    def told(found: DataFrame, value: Column, name: str, image: bool | Column, gray: Column | None = None) -> DataFrame:
         """Keys are structs that begin with the item's key, so a_key is the smaller item's; of the two only that may be mirrored."""
         m = F.col("a_key.mirrored")
-        each = {"gray": F.when(~m, value) if name == "gray" else none, "hash": F.when(~m, value) if name == "hash" else none, "ai": value if name == "ai" else none}
+        each = {"gray": F.when(~m, value) if name == "gray" else none if gray is None else gray, "hash": F.when(~m, value) if name == "hash" else none, "ai": value if name == "ai" else none}
         each |= {"mirrored_gray": F.when(m, value) if name == "gray" else none, "mirrored_hash": F.when(m, value) if name == "hash" else none}
         found = found.where("a_key.key <> b_key.key and not b_key.mirrored")
         return found.select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key"), F.lit(image).alias("image"), *[v.cast("double").alias(c) for c, v in each.items()])
@@ -174,38 +177,51 @@ def pairs(items: DataFrame, positions: int, side: int, s: Settings, flips: bool
             frames = frames.unionByName(rows.select(own_key(True), whole(turn(F.col("frames"))).alias("value")))
         # the limit of one frame is tested on the value, as it is stated on it
         limit = s.most_difference * (1 + 1e-9) + 1e-12 if image else s.most_difference
-        near = similarity.gray_pairs(frames, "key", "value", side, limit, s.ignore_dark, s.ignore_bright, 1 if image else positions)
+        if parted and s.combine and not image:
+            coded = rows.select(own_key(False), F.flatten("frames").alias("value"), "hashes")
+            near = similarity.gray_and_codes(coded, "key", "value", "hashes", side * side * positions, limit, positions, s.most_bits, s.required(positions))
+        else:
+            near = similarity.gray_pairs(frames, "key", "value", side, limit, s.ignore_dark, s.ignore_bright, 1 if image else positions)
         found.append(told(near.where(F.col("difference") <= s.most_difference) if image else near, F.col("difference"), "gray", image))
     if s.use_hashes or s.combine:
         films = items.where("not image")
-        hashes = films.select(own_key(False), F.col("hashes").alias("h"))
+        hashes = films.select(own_key(False), F.col("hashes").alias("h"), *([F.col("frames").alias("f")] if parted else []))
         if flips:
             hashes = hashes.unionByName(films.select(own_key(True), F.col("mirrored_hashes").alias("h")))
         codes = hashes.select("key", F.posexplode("h").alias("place", "value")).select(F.struct("key.key", "key.mirrored", "place").alias("key"), "value")
         met = similarity.hamming_pairs(codes, "key", "value", s.most_bits).where("a_key.place = b_key.place and a_key.key <> b_key.key and not b_key.mirrored")
         met = met.select(*[F.struct(F.col(f"{x}_key.key").alias("key"), F.col(f"{x}_key.mirrored").alias("mirrored")).alias(f"{x}_key") for x in "ab"]).distinct()
         for x in "ab":
-            met = met.join(hashes.select(F.col("key").alias(f"{x}_key"), F.col("h").alias(f"{x}_h")), f"{x}_key")
+            met = met.join(hashes.select(*[F.col(c).alias(f"{x}_{c}") for c in hashes.columns]), f"{x}_key")
         met = met.withColumn("mean", hash_quorum(F.col("a_h"), F.col("b_h"), positions, s)).where("mean is not null")
-        found.append(told(met, F.col("mean"), "hash", False))
+        found.append(told(met, F.col("mean"), "hash", False, gray_positions(F.col("a_f"), F.col("b_f"), s) if parted else None))
     if s.use_ai:
         least = float(np.float32(s.ai_percent) / np.float32(100))
-        vectors = items.select(F.struct("key", F.lit(False).alias("mirrored")).alias("key"), "image", "vectors")
+        vectors = items.select(F.struct("key", F.lit(False).alias("mirrored")).alias("key"), "image", "vectors", F.when(F.col("image"), F.col("frames")[0]).otherwise(F.flatten("frames")).alias("frames"), "hashes")
         single = vectors.select("key", "image", F.posexplode("vectors").alias("place", "value")).select(F.struct("key", "place", "image").alias("key"), "value")
         if similarity.cosines_told_apart(single, "key", "value", least - 1e-6):
             met = similarity.cosine_pairs(single, "key", "value", least - 1e-6).where("a_key.place = b_key.place and a_key.image = b_key.image")
             met = met.select(F.col("a_key.key").alias("a_key"), F.col("b_key.key").alias("b_key")).distinct()
-            own = vectors.withColumn("vectors", F.transform("vectors", signal.quantised))
+            own = items.select("key", "image", F.transform("vectors", signal.quantised).alias("vectors"), *(["frames", "hashes"] if parted else []))
             for x in "ab":
-                met = met.join(own.select(F.col("key").alias(f"{x}_key"), F.col("image").alias(f"{x}_image"), F.col("vectors").alias(f"{x}_vectors")), f"{x}_key")
-            met = met.select("a_key", "b_key", F.col("a_image").alias("image"), ai_similarity(F.col("a_vectors"), F.col("b_vectors")).alias("cosine")).where(F.col("cosine") >= least)
+                columns = [F.col(c).alias(f"{x}_{c}") for c in own.columns if c != "key"]
+                met = met.join(own.select(F.struct("key", F.lit(False).alias("mirrored")).alias(f"{x}_key"), *columns), f"{x}_key")
+            met = met.withColumn("cosine", ai_similarity(F.col("a_vectors"), F.col("b_vectors"))).where(F.col("cosine") >= least)
+            if parted:
+                sides = [{c: F.col(f"{x}_{c}") for c in ("frames", "hashes")} for x in "ab"]
+                met = met.where(classic(*sides, F.col("a_image"), positions, s).difference.isNull())
+            met = met.select("a_key", "b_key", F.col("a_image").alias("image"), "cosine")
             found.append(told(met, F.col("cosine"), "ai", F.col("image")))
         else:
             for image in (True, False):
-                near = similarity.mean_cosine_pairs(vectors.where(F.col("image") == image), "key", "vectors", "image", least)
+                own, coded = vectors.where(F.col("image") == image), s.combine and not image
+                if parted and coded:
+                    own = own.withColumn("frames", F.concat(F.col("frames").cast("array<long>"), similarity.worded(F.col("hashes"), positions)))
+                unless = ("frames", s.most_difference, 1 if image else positions, (s.most_bits, s.required(positions), positions) if coded else None) if parted else None
+                near = similarity.mean_cosine_pairs(own, "key", "vectors", "image", least, unless=unless)
                 found.append(told(near, F.col("cosine"), "ai", image))
     met = reduce(DataFrame.unionByName, found)
-    if len(found) > 2 or flips:
+    if (len(found) > 2 or flips) and not parted:
         met = met.groupBy("a_key", "b_key", "image").agg(*[F.max(c).alias(c) for c in ("gray", "hash", "ai", "mirrored_gray", "mirrored_hash")])
     combined = F.lit(s.combine)
 

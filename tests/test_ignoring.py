@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import signal
 from kindred.operators import ordering, results, similarity, verdicts
 
 SIDE = 4
@@ -116,3 +117,35 @@ def test_a_listing_deals_out_only_what_it_keeps(spark, monkeypatch):
     got = results.listed(frame, "similarity", True, ["grp", "place"])
     assert got.columns == ["grp", "place", "listed"] and {(r.grp, r.place): r.listed for r in got.collect()} == whole
     assert columns == [{"grp", "place", "similarity", "_set_most_alike", "_place_at"}]
+
+
+@pytest.mark.parametrize("told_apart", [False, True])
+@pytest.mark.parametrize("combine", [False, True])
+def test_pairs_found_twice_are_rows_once(spark, monkeypatch, combine, told_apart):
+    """By frames, codes and embeddings at once, with missing ones: the verdict of each pair, without bringing all that was found together."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(48):
+        k = i % 8
+        own = np.random.default_rng(k)  # eight families whose members differ by more and more
+        frames = np.clip(own.integers(40, 200, (4, 16)) + rng.integers(-1 - i // 3, 2 + i // 3, (4, 16)), 0, 255).tolist()
+        codes = [int(c) ^ int(rng.integers(0, 1 << (i // 4))) for c in own.integers(-(2**63), 2**63, 4)]
+        vectors = own.normal(size=(4, 8)) + rng.normal(size=(4, 8)) * i / 60
+        vectors = [(v / np.linalg.norm(v)).tolist() if rng.random() > 0.2 else None for v in vectors]
+        if i % 11 == 5:
+            codes[1] = None
+        if i % 13 == 6:
+            frames[2][3] = None
+        rows.append((i, k == 3, frames, codes, vectors))
+    items = spark.createDataFrame(rows, "key long, image boolean, frames array<array<int>>, hashes array<bigint>, vectors array<array<double>>")
+    s = verdicts.Settings(percent=95.0, ai_percent=80.0, quorum=0.5, combine=combine)
+    monkeypatch.setattr(similarity, "cosines_told_apart", lambda *a: told_apart)
+    out = verdicts.pairs(items, 4, 4, s)
+    quantised = items.withColumn("vectors", F.transform("vectors", signal.quantised))
+    a, b = (quantised.select(*[F.col(c).alias(f"{x}_{c}") for c in quantised.columns]) for x in "ab")
+    both = a.join(b, F.expr("a_key < b_key and a_image = b_image"))
+    v = verdicts.union(*[{c: F.col(f"{x}_{c}") for c in ("frames", "hashes", "vectors")} for x in "ab"], F.col("a_image"), 4, s)
+    want = both.select("a_key", "b_key", *v.columns()).where("difference is not null")
+    told = [{(r.a_key, r.b_key): (round(r.difference, 9), r.by_gray, r.by_hash, r.by_ai) for r in d.collect()} for d in (out, want)]
+    assert told[0] == told[1] and len(told[1]) > 60 and len({x[1:] for x in told[1].values()}) >= 2 + 2 * combine and out.count() == len(told[1])
+    assert "max(gray" not in out._jdf.queryExecution().optimizedPlan().toString()
