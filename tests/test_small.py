@@ -2,10 +2,12 @@
 
 import datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import media, signal
-from kindred.operators import reports, results, state, verdicts
+from kindred.operators import reports, results, similarity, state, verdicts
 from kindred.sources import tables
 
 
@@ -87,3 +89,16 @@ def test_pictures_that_line_up_in_report_sets(spark):
     related = spark.createDataFrame([(p, "keep", image, True, relation, percent) for p, image, relation, percent in rows], "i_path string, k_path string, i_image boolean, k_image boolean, relation string, percent double")
     out = {r.i_path: r.lines_up for r in reports.lined_up(related, pixels).collect()}
     assert out == {"crop": True, "other": False, "gone": None, "crop2": None, "film": None, "far": None}
+
+
+@pytest.mark.parametrize("rows", [1, 5, 64])
+def test_codes_near_each_other_in_buffers(rows):
+    """Places and bits are those of the whole matrix, whatever the rows of a buffer."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 2**63, 33, dtype=np.uint64), rng.integers(0, 2**63, 40, dtype=np.uint64)
+    y[:9] = x[:9] ^ np.uint64(0b10110)
+    bits = np.bitwise_count(x[:, None] ^ y)
+    i, j = np.nonzero(bits <= 24)
+    found = similarity._near_codes(x, y, 24, rows)
+    assert len(i) > 9 and all((a == b).all() for a, b in zip(found, (i, j, bits[i, j]), strict=True))
+    assert [len(c) for c in similarity._near_codes(x[:0], y, 24)] == [len(c) for c in similarity._near_codes(x, y[:0], 24)] == [0] * 3
